@@ -32,7 +32,7 @@ def _byte_chars() -> dict[int, str]:
 class ChunkEncoder:
     """encode(text) -> bytes of ids. At most max_chunks chunks are remembered."""
 
-    def __init__(self, path: str, max_chunks: int = 700_000):
+    def __init__(self, path: str, max_chunks: int = 1_500_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

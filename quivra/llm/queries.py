@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quivra.llm.common import table
 
+#: The byte limit of a shard.
+SHARD_BYTES = 16 << 20
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -27,6 +31,47 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, 1024)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_orc, op8_best_fit_packing)}
+def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quivra.llm.sharding import assign
+
+    return assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quivra.llm.simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), radius=4, width=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quivra.llm.toxicity import fit, score
+
+    documents = table(spark, sf_dir, "documents")
+    return score(documents, fit(documents, table(spark, sf_dir, "labels")), threshold=0.7)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_extendible_sharding,
+        op4_simhash_dedup,
+        op5_token_orc,
+        op8_best_fit_packing,
+        op10_toxicity,
+    )
+}
+
+
+def sharding_sql(limit: int) -> str:
+    """The same directory in SQL; ids are unique there, so the bits of the id's hash are enough."""
+    return f"""
+WITH r AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
+                  lpad(bin(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT)), 60, '0') AS bits FROM documents),
+     s AS (SELECT r.doc_id, r.n_bytes, d.depth, substr(bits, 1, d.depth) AS prefix FROM r, (SELECT CAST(range AS INTEGER) AS depth FROM range(0, 61)) d),
+     b AS (SELECT prefix, depth, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes FROM s GROUP BY prefix, depth HAVING sum(n_bytes) <= {limit}),
+     l AS (SELECT s.doc_id, s.n_bytes, s.prefix, s.depth, b.shard_bytes, row_number() OVER (PARTITION BY s.doc_id ORDER BY s.depth) AS k FROM s JOIN b ON s.prefix = b.prefix AND s.depth = b.depth)
+SELECT doc_id, n_bytes, prefix AS shard, depth, CAST(0 AS BIGINT) AS page, shard_bytes FROM l WHERE k = 1"""
+
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_extendible_sharding": sharding_sql(SHARD_BYTES)}
