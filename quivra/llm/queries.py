@@ -31,12 +31,27 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2, 1024)
 
 
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quivra.llm.chat import digest, windows
+
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digest(windows(told.unionByName(more), budget=1024, history=128))
+
+
 def op2_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quivra.llm.sharding import assign
 
     return assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quivra.llm.quality import judge
+
+    return judge(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quivra.llm.simhash import near_duplicates
 
@@ -54,7 +69,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_chat_windows,
         op2_extendible_sharding,
+        op3_quality_rules,
         op4_simhash_dedup,
         op5_token_orc,
         op8_best_fit_packing,
@@ -74,4 +91,22 @@ WITH r AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
 SELECT doc_id, n_bytes, prefix AS shard, depth, CAST(0 AS BIGINT) AS page, shard_bytes FROM l WHERE k = 1"""
 
 
-ORACLES: dict[str, str] = {"op2_extendible_sharding": sharding_sql(SHARD_BYTES)}
+QUALITY_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+     g AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+     r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
+     c AS (SELECT doc_id, sum(least(5, coalesce(n - i, 5))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM r) GROUP BY doc_id),
+     f AS (SELECT w.doc_id, text, words, len(lines) AS n_lines, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                  CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+           FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+     b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines OR length(text) - length(replace(text, '!', '')) > 0.2 * n_words
+            OR length(text) - length(translate(text, '0123456789', '')) > 0.3 * word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) > 0.5 * n_words) AS kept
+FROM b"""
+
+ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY_SQL, "op2_extendible_sharding": sharding_sql(SHARD_BYTES)}

@@ -210,6 +210,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: i
         return Scorer(model, np.zeros(FEATURES), np.ones(FEATURES), np.eye(FEATURES + 1)[1], window)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     share = np.array([total[0], total[1]]) / (total[0] + total[1])
+    share = np.sqrt(share)  # half way between the labels' shares and even ones: a missed toxic document costs more
     weight = np.where(y == 1, share[1] / y.mean(), share[0] / (1 - y.mean()))
     return Scorer(model, mean, scale, _logistic((x - mean) / scale, y, weight), window)
 
