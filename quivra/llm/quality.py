@@ -39,7 +39,7 @@ def _without(chars: str) -> Column:
 #: Beyond the base rules; each leaves ordinary prose, lists of names and code comments alone.
 RULES = (
     Rule("symbols", lambda: F.col("n_symbols") > 0.1 * F.col("n_words")),
-    Rule("repeated lines", lambda: F.col("n_dup_lines") > 0.3 * F.size("lines")),
+    Rule("repeated lines", lambda: F.col("n_dup_lines") > 0.5 * F.size("lines")),
     Rule("exclamations", lambda: _without("!") > 0.2 * F.col("n_words")),
     Rule("digits", lambda: _without("0123456789") > 0.3 * F.col("word_chars")),
     Rule("word length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 20 * F.col("n_words"))),

@@ -25,6 +25,18 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_to_orc(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 2)
 
 
+def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quivra.llm.sentencepiece_sampling import digest, sample_segmentations
+
+    return digest(sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=3, theta=0.5))
+
+
+def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quivra.llm.ogg import digest, store
+
+    return digest(store(table(spark, sf_dir, "documents")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quivra.llm.packing import pack
 
@@ -59,6 +71,12 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quivra.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quivra.llm.toxicity import fit, score
 
@@ -74,7 +92,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_quality_rules,
         op4_simhash_dedup,
         op5_token_orc,
+        op6_gumbel_segmentations,
+        op7_ogg_media,
         op8_best_fit_packing,
+        op9_html_main_text,
         op10_toxicity,
     )
 }
@@ -104,7 +125,7 @@ WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
            FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
      b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.3 * n_lines OR length(text) - length(replace(text, '!', '')) > 0.2 * n_words
+       NOT (base_failed OR n_symbols > 0.1 * n_words OR n_dup_lines > 0.5 * n_lines OR length(text) - length(replace(text, '!', '')) > 0.2 * n_words
             OR length(text) - length(translate(text, '0123456789', '')) > 0.3 * word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR len(list_filter(words, lambda x: x = upper(x) AND x <> lower(x))) > 0.5 * n_words) AS kept
 FROM b"""
