@@ -28,7 +28,7 @@ def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quivra.llm.sentencepiece_sampling import digest, sample_segmentations
 
-    return digest(sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=3, theta=0.5))
+    return digest(sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), k=2, theta=0.5))
 
 
 def op7_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ _lattices: dict[tuple, "Lattice"] = {}
 class Lattice:
     """Lattices of chunks in flat arrays: edge e of node v has a probability; edges of a node are contiguous."""
 
-    def __init__(self, model: str, theta: float, max_nodes: int = 1_500_000):
+    def __init__(self, model: str, theta: float, max_nodes: int = 3_000_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -48,48 +48,53 @@ class Lattice:
         ranked = min(scores) < -100
         for i in range(sp.get_piece_size()):
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)):
-                self.vocab[sp.id_to_piece(i)] = (i, theta * (-math.log(10 - scores[i]) if ranked else scores[i]))
+                self.vocab[sp.id_to_piece(i)] = (i, math.exp(theta * (-math.log(10 - scores[i]) if ranked else scores[i])))
         if any(MARK in p[1:].lstrip(MARK) for p in self.vocab):
             raise ValueError("a piece crosses a word mark")
         self.longest = max(map(len, self.vocab))
-        self.fallback = theta * -math.log(10 + len(scores))
+        self.fallback = math.exp(theta * -math.log(10 + len(scores)))
         self.reset()
 
     def reset(self) -> None:
         self.chunk: dict[str, int] = {}  # chunk -> its first node
         self.nodes = 0
-        self.cdf, self.end, self.prob, self.first, self.code = np.zeros(0), np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), []
-        self.new: list[tuple[list, list, list, list]] = []
+        self.cdf, self.prob, self.end, self.node, self.code = np.zeros(0), np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.first = np.zeros(1, np.int64)
+        self.bytes: list[list[int]] = []  # the ids of an edge with code -1, -2, ...
+        self.new: tuple[list, list, list, list, list] = ([], [], [], [], [])
 
     def _add(self, chunk: str) -> int:
-        n, base = len(chunk), self.nodes
-        out: list[list[tuple[int, float, bytes]]] = []
-        for i in range(n):
-            edges = []
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                if found := self.vocab.get(chunk[i:j]):
-                    edges.append((j, found[1], found[0].to_bytes(4, "little")))
-            if not any(j == i + 1 for j, _, _ in edges):
-                raw = chunk[i].encode("utf-8", "surrogatepass")
-                edges.append((i + 1, self.fallback * len(raw), b"".join(self.byte[b].to_bytes(4, "little") for b in raw)))
-            out.append(edges)
-        back = [0.0] * (n + 1)
+        """Edges of a new chunk, last node first summed: back[i] is the mass of all paths from i to the end."""
+        n, base, longest, get = len(chunk), self.nodes, self.longest, self.vocab.get
+        back, rows, scale = [1.0] * (n + 1), [None] * n, [0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            top = max(w + back[j] for j, w, _ in out[i])
-            back[i] = top + math.log(sum(math.exp(w + back[j] - top) for j, w, _ in out[i]))
-        cdf, end, prob, first = [], [], [], []
-        for i, edges in enumerate(out):
+            edges, single = [], False
+            low = scale[i + 1]
+            for j in range(i + 1, min(n, i + longest) + 1):
+                if found := get(chunk[i:j]):
+                    edges.append((j, found[1] * back[j] * (1.0 if scale[j] == low else 2.0 ** (scale[j] - low)), found[0]))
+                    single = single or j == i + 1
+            if not single:
+                raw = chunk[i].encode("utf-8", "surrogatepass")
+                code = self.byte[raw[0]]
+                if len(raw) > 1:
+                    self.bytes.append([self.byte[b] for b in raw])
+                    code = -len(self.bytes)
+                edges.append((i + 1, self.fallback ** len(raw) * back[i + 1], code))
             total = 0.0
+            for e in edges:
+                total += e[1]
+            # very long chunks: powers of two are kept apart, so sums neither vanish nor overflow
+            back[i], scale[i] = (total * 2.0**400, low - 400) if total < 1e-150 else (total, low)
+            rows[i] = (edges, total)
+        mass, totals, ends, codes, sizes = self.new
+        for edges, total in rows:
+            totals.append(total)
+            sizes.append(len(edges))
             for j, w, code in edges:
-                p = math.exp(w + back[j] - back[i])
-                total += p
-                cdf.append(base + i + total)
-                end.append(base + j if j < n else -1)
-                prob.append(p)
-                self.code.append(code)
-            cdf[-1] = base + i + 1.0
-            first.append(len(edges))
-        self.new.append((cdf, end, prob, first))
+                mass.append(w)
+                ends.append(base + j if j < n else -1)
+                codes.append(code)
         self.nodes += n
         self.chunk[chunk] = base
         return base
@@ -98,19 +103,33 @@ class Lattice:
         """The first node of each chunk, adding those not yet known."""
         got = list(map(self.chunk.get, chunks))
         if None in got:
-            if self.nodes > self.max_nodes:
-                self.reset()
-                got = [None] * len(chunks)
             got = [x if x is not None else self.chunk[c] if c in self.chunk else self._add(c) for x, c in zip(got, chunks)]
         return np.array(got, np.int64)
 
     def settle(self) -> None:
         """Appends what _add() has gathered to the arrays."""
-        if self.new:
-            cdf, end, prob, first = ([y for part in self.new for y in part[k]] for k in range(4))
-            self.cdf, self.end, self.prob = np.concatenate((self.cdf, cdf)), np.concatenate((self.end, np.array(end, np.int64))), np.concatenate((self.prob, prob))
-            self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(np.array(first, np.int64))))
-            self.new = []
+        mass, totals, ends, codes, sizes = self.new
+        if not totals:
+            return
+        size = np.array(sizes, np.int64)
+        local = np.repeat(np.arange(len(size)), size)
+        prob = np.array(mass) / np.array(totals)[local]
+        run = np.cumsum(prob)
+        head = np.cumsum(size) - size
+        node = local + (self.nodes - len(size))
+        cdf = node + np.minimum(run - (run[head] - prob[head])[local], 1.0)
+        cdf[head + size - 1] = node[head] + 1.0
+        join = lambda old, new: np.concatenate((old, np.asarray(new, old.dtype)))
+        self.cdf, self.prob, self.node = join(self.cdf, cdf), join(self.prob, prob), join(self.node, node)
+        self.end, self.code = join(self.end, ends), join(self.code, codes)
+        self.first = join(self.first, self.first[-1] + np.cumsum(size))
+        self.new = ([], [], [], [], [])
+
+    def ids(self, edges: np.ndarray) -> np.ndarray:
+        code = self.code[edges]
+        if (code >= 0).all():
+            return code
+        return np.array([x for c in code.tolist() for x in ((c,) if c >= 0 else self.bytes[-c - 1])], np.int32)
 
     def walk(self, node: np.ndarray, chunk: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
         """Samples the edges from each of `node` to its chunk's end: (edges, their nodes' chunks) in order."""
@@ -120,7 +139,7 @@ class Lattice:
             e = np.minimum(e, self.first[node + 1] - 1)
             edges.append(e)
             chunks.append(chunk)
-            node = self.end[e]
+            node = self.end[e].astype(np.int64)
             on = node >= 0
             node, chunk = node[on], chunk[on]
         if not edges:
@@ -129,9 +148,6 @@ class Lattice:
         order = np.argsort(chunk, kind="stable")
         return edge[order], chunk[order]
 
-    def node_of(self, edge: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.first, edge, side="right") - 1
-
 
 def _below(mass: np.ndarray, top: float, rng: np.random.Generator) -> np.ndarray:
     """Gumbel values of sets with these log-masses, given that all are below `top`."""
@@ -147,7 +163,7 @@ def sample(lattice: Lattice, start: np.ndarray, k: int, rng: np.random.Generator
     found: list = []
     open_: list = []  # the sets that branch from each path found: values, masses, and what they exclude
 
-    def add(edge, chunk, value, since, barred, before):
+    def add(edge, chunk, value, since, barred):
         p = lattice.prob[edge]
         with np.errstate(divide="ignore"):
             logs = np.log(p)
@@ -155,7 +171,7 @@ def sample(lattice: Lattice, start: np.ndarray, k: int, rng: np.random.Generator
             if len(edge) > since:
                 rest[since] -= sum(lattice.prob[e] for e in barred)
             # what is left at a node with one edge, or with all its edges barred, is nothing
-            node = lattice.node_of(edge[since:])
+            node = lattice.node[edge[since:]]
             width = (lattice.first[node + 1] - lattice.first[node]).astype(np.int64)
             left = np.log(np.maximum(rest[since:], 0.0))
         if len(width):
@@ -166,7 +182,7 @@ def sample(lattice: Lattice, start: np.ndarray, k: int, rng: np.random.Generator
         found.append((edge, float(prefix[-1]), value))
         open_.append([edge, chunk, since, barred, prefix, values])
 
-    add(edge, chunk, gumbel, 0, (), 0.0)
+    add(edge, chunk, gumbel, 0, ())
     threshold = -math.inf
     while True:
         best = max(range(len(open_)), key=lambda x: open_[x][5].max(initial=-math.inf))
@@ -181,7 +197,7 @@ def sample(lattice: Lattice, start: np.ndarray, k: int, rng: np.random.Generator
         values[at] = -math.inf
         place = since + at
         out = (*(barred if at == 0 else ()), int(edge[place]))
-        node = int(lattice.node_of(edge[place : place + 1])[0])
+        node = int(lattice.node[edge[place]])
         choice = [e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in out]
         weight = np.array([lattice.prob[e] for e in choice])
         first = choice[min(int(np.searchsorted(np.cumsum(weight), rng.random() * weight.sum(), side="right")), len(choice) - 1)]
@@ -190,7 +206,7 @@ def sample(lattice: Lattice, start: np.ndarray, k: int, rng: np.random.Generator
         nodes = np.concatenate(([after] if after >= 0 else [], start[own + 1 :])).astype(np.int64)
         owners = np.concatenate(([own] if after >= 0 else [], np.arange(own + 1, len(start)))).astype(np.int64)
         more, which = lattice.walk(nodes, owners, rng)
-        add(np.concatenate((edge[:place], [first], more)), np.concatenate((chunk[:place], [own], which)), value, place, out, 0.0)
+        add(np.concatenate((edge[:place], [first], more)), np.concatenate((chunk[:place], [own], which)), value, place, out)
     with np.errstate(over="ignore"):
         return [(e, p, g, 1.0 if threshold == -math.inf else float(-np.expm1(-np.exp(min(p - threshold, 700.0))))) for e, p, g in found]
 
@@ -203,7 +219,7 @@ def chunks_of(text: str) -> list[str]:
 SCHEMA = "doc_id long, rank int, log_prob double, perturbed double, inclusion double, ids array<int>"
 
 
-def _sampled(model: str, k: int, theta: float, seed: int, batch_docs: int = 200):
+def _sampled(model: str, k: int, theta: float, seed: int, batch_docs: int = 400):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (model, theta)
         if key not in _lattices:
@@ -213,16 +229,10 @@ def _sampled(model: str, k: int, theta: float, seed: int, batch_docs: int = 200)
             for at in range(0, batch.num_rows, batch_docs):
                 part = batch.slice(at, batch_docs)
                 keys, texts = part.column(0).to_pylist(), [x.as_py() for x in part.column(1)]
-                rows = []
-                for doc, text in zip(keys, texts):
-                    parts = chunks_of(text)
-                    start = lattice.starts(parts)
-                    rows.append((doc, start, lattice))
-                    if len(rows) == len(keys) or lattice.nodes > lattice.max_nodes:
-                        yield from _emit(lattice, rows, k, seed)
-                        rows = []
-                if rows:
-                    yield from _emit(lattice, rows, k, seed)
+                if lattice.nodes > lattice.max_nodes:
+                    lattice.reset()
+                rows = [(doc, lattice.starts(chunks_of(text))) for doc, text in zip(keys, texts)]
+                yield from _emit(lattice, rows, k, seed)
 
     return run
 
@@ -230,16 +240,17 @@ def _sampled(model: str, k: int, theta: float, seed: int, batch_docs: int = 200)
 def _emit(lattice: Lattice, rows: list, k: int, seed: int) -> Iterator[pa.RecordBatch]:
     lattice.settle()
     out, ids = [], []
-    for doc, start, _ in rows:
+    for doc, start in rows:
         rng = np.random.Generator(np.random.PCG64(zlib.crc32(f"{seed}:{doc}".encode()) << 32 | zlib.crc32(f"{doc}:{seed}".encode())))
         for rank, (edge, p, g, inclusion) in enumerate(sample(lattice, start, k, rng), 1):
-            raw = b"".join([lattice.code[e] for e in edge.tolist()])
-            out.append((doc, rank, p, g, inclusion, len(raw) // 4))
-            ids.append(raw)
-    cols = list(zip(*out)) or [()] * 6
-    offsets = pa.array(np.concatenate(([0], np.cumsum(np.array(cols[5], np.int64)))).astype(np.int32))
-    lists = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), "<i4")))
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:5], (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()))] + [lists], names=["doc_id", "rank", "log_prob", "perturbed", "inclusion", "ids"])
+            ids.append(lattice.ids(edge))
+            out.append((doc, rank, p, g, inclusion, len(ids[-1])))
+    if out:
+        cols = list(zip(*out))
+        offsets = pa.array(np.concatenate(([0], np.cumsum(np.array(cols[5], np.int64)))).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids)))
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[:5], kinds)), lists], names=["doc_id", "rank", "log_prob", "perturbed", "inclusion", "ids"])
 
 
 def sample_segmentations(df: DataFrame, model: str, k: int = 3, theta: float = 0.5, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
