@@ -120,4 +120,7 @@ def keep(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000
     """The rows of df that no rule rejects, columns unchanged."""
     order = ordered(measured(df, rules, text_col, sample_rows))
     row = F.struct(*[quoted(c) for c in df.columns]).alias("__row")
-    return features(prepared(df, text_col, (row,))).filter(cascade(order).isNull()).select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
+    judged = features(prepared(df, text_col, (row,))).withColumn("__rejected", cascade(order))
+    # a filter on the verdict would be pushed below all features and repeat each in it; what a generator makes is not
+    passed = judged.select(F.explode_outer(F.when(F.col("__rejected").isNull(), F.array("__row"))).alias("__kept")).filter(F.col("__kept").isNotNull())
+    return passed.select(*[F.col("__kept").getField(c).alias(c) for c in df.columns])

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +67,6 @@ def fingerprints(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_col
 
 def fingerprint_udf(width: int = 4):
     """The same for one column, so that a table keeps its other columns."""
-    import pandas as pd
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
