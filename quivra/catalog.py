@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quivra.plans import kv_queries, vector_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {**vector_queries.QUERIES, **kv_queries.QUERIES}
+ORACLES = {**vector_queries.ORACLES, **kv_queries.ORACLES}
