@@ -6,7 +6,7 @@ more, if it has some), so none is left and the escape can be undone; roles are U
 Prefix sums of the turns' tokens choose spans of whole turns: a span goes on while its tokens fit what the
 system turn and the history leave of the budget. Each later window repeats the system turn and then as
 many of the turns before it as fit `history` tokens; repeated turns are context, and only assistant texts of
-the span itself are under the loss mask: each once. A turn longer than the budget is a window of its own.
+the span itself are under the loss mask: each once. A turn longer than that is a span of its own (in the first window, beside the system turn).
 
 Turns are gathered in blocks of `block` turns, so a conversation with a third of all rows is no single task; a
 later block starts without history but with the system turn. Nulls: a null text or role is empty, a null turn

@@ -10,8 +10,8 @@ pair agrees. 2^(radius+1) - 1 tables lose no pair.
 
 Equal fingerprints are one node from the start, so copies never meet in a bucket. A bucket of at most `cap`
 fingerprints is searched in its task and gives the links of a spanning forest, not all pairs. A larger bucket
-is hashed again, by the same construction over the positions its table left out (32, then 16, then 8):
-after three levels a bucket has at most 2^8 different fingerprints. No pair is dropped anywhere.
+is hashed again, by the same construction over the positions its table left out (about 32, then 16, then 8):
+after three levels at most 8 are left, so a bucket has at most 2^8 different fingerprints. No pair is dropped.
 
 Nulls: a null text is an empty one. Rows with a null doc_id take part and have the smallest doc_id of their
 component, null if it has none. Repeated rows are returned as often as they occur; an empty table gives none."""
@@ -77,8 +77,10 @@ def fingerprint_udf(width: int = 4):
 
 def masks(positions: list[int], radius: int) -> list[int]:
     """For each non-zero v of radius + 1 bits: the positions i, of those given, with <m(i), v> = 1."""
-    n = (1 << (radius + 1)) - 1
-    return [sum(1 << p for k, p in enumerate(positions) if bin((k % n + 1) & v).count("1") % 2) for v in range(1, n + 1)]
+    half, n = 1 << radius, (1 << (radius + 1)) - 1
+    # vectors with the top bit first: 2^radius of them are a Reed-Muller code, whose words have half their bits set or all
+    vectors = [*range(half, n + 1), *range(1, half)]
+    return [sum(1 << p for k, p in enumerate(positions) if bin(vectors[k % n] & v).count("1") % 2) for v in range(1, n + 1)]
 
 
 def mask_levels(radius: int) -> list[list[int]]:
