@@ -136,10 +136,87 @@ def probe_list(queries: DataFrame, centroids: dict[int, np.ndarray], n: int) ->
     return asked.mapInArrow(_prober(ids, points, n), "qid long, point array<double>, posting_id long, centroid_distance double")
 
 
-def search(members: DataFrame, centroids: dict[int, np.ndarray], queries: DataFrame, k: int, n: int) -> DataFrame:
-    """(qid, rank, id, distance): exact distances within the n nearest postings. The probe list meets members by posting id."""
-    probed = probe_list(queries, centroids, n).join(members, "posting_id")
-    return ranked(probed.select("qid", "id", squared_l2("point", "values").alias("distance")), k)
+def _scorer(probes: dict[int, np.ndarray], qids: np.ndarray, points: np.ndarray, k: int):
+    """For rows (posting_id, id, values): the k best of this task for each query that probes the row's posting."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            postings, ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2), points.shape[1])
+            for p in np.unique(postings).tolist():
+                if p not in probes:
+                    continue
+                at = np.flatnonzero(postings == p)
+                part, own = rows[at], ids[at]
+                for q in probes[p].tolist():
+                    d, i = distances(part, points[q]), own
+                    if q in best:
+                        d, i = np.concatenate((best[q][0], d)), np.concatenate((best[q][1], i))
+                    if len(d) > k:
+                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])  # with all ties at the end
+                        d, i = d[near], i[near]
+                    keep = np.lexsort((i, d))[:k]
+                    best[q] = d[keep], i[keep]
+        for q, (d, i) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), qids[q])), pa.array(i), pa.array(d)], names=["qid", "id", "distance"])
+
+    return run
+
+
+def _score(members: DataFrame, probes: dict[int, np.ndarray], qids: np.ndarray, points: np.ndarray, k: int) -> DataFrame:
+    """(qid, id, distance): the lists are read where they lie; only k rows a query and task are exchanged afterwards."""
+    rows = members.select("posting_id", "id", "values")
+    if len(probes) <= 1000:
+        rows = rows.filter(F.col("posting_id").isin(list(probes)))  # reaches the scan of a stored index
+    return rows.mapInArrow(_scorer(probes, qids, points, k), "qid long, id long, distance double")
+
+
+def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(qids, points) of at most `block` queries at a time."""
+    asked, low = queries.select(F.col("qid").cast("long"), F.col("values").cast("array<double>")), None
+    while True:
+        part = (asked if low is None else asked.filter(F.col("qid") > low)).orderBy("qid").limit(block).toPandas()
+        if len(part):
+            yield part["qid"].to_numpy(), np.array([np.asarray(x, float) for x in part["values"]])
+            low = int(part["qid"].max())
+        if len(part) < block:
+            return
+
+
+def _nearest_lists(centroids: dict[int, np.ndarray], points: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(posting ids, squared distances) of the n nearest postings of each point, ties by id."""
+    ids, middle, out = np.array(list(centroids), np.int64), np.array(list(centroids.values())), []
+    for point in points:
+        d = distances(middle, point)
+        order = np.lexsort((ids, d))[:n]
+        out.append((ids[order], d[order]))
+    return out
+
+
+def _by_posting(chosen: list[np.ndarray]) -> dict[int, np.ndarray]:
+    pairs = [(int(p), q) for q, ps in enumerate(chosen) for p in ps]
+    out: dict[int, list[int]] = {}
+    for p, q in pairs:
+        out.setdefault(p, []).append(q)
+    return {p: np.array(q) for p, q in out.items()}
+
+
+def _union(parts: list[DataFrame], members: DataFrame, k: int) -> DataFrame:
+    out = None
+    for part in parts:
+        out = part if out is None else out.union(part)
+    return ranked(out if out is not None else members.sparkSession.createDataFrame([], "qid long, id long, distance double"), k)
+
+
+def search(members: DataFrame, centroids: dict[int, np.ndarray], queries: DataFrame, k: int, n: int, block: int = 4096) -> DataFrame:
+    """(qid, rank, id, distance): exact distances within the n nearest postings of each query."""
+    found = []
+    for qids, points in _blocks(queries, block):
+        chosen = [ids for ids, _ in _nearest_lists(centroids, points, n)]
+        found.append(_score(members, _by_posting(chosen), qids, points, k))
+    return _union(found, members, k)
 
 
 def posting_stats(members: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
@@ -165,16 +242,29 @@ def bounded_probes(queries: DataFrame, centroids: dict[int, np.ndarray], stats:
     return probed.withColumn("probe", F.row_number().over(order).cast("long"))
 
 
-def pruned_search(members: DataFrame, centroids: dict[int, np.ndarray], stats: DataFrame, queries: DataFrame, k: int, n: int, first: int = 2) -> DataFrame:
+def pruned_search(members: DataFrame, centroids: dict[int, np.ndarray], stats: DataFrame, queries: DataFrame, k: int, n: int, first: int = 2, block: int = 4096) -> DataFrame:
     """The same result as search() over n postings in two phases.
 
-    The `first` postings give each query a k-th distance; of the others only those whose bound is under it are read."""
-    probed = bounded_probes(queries, centroids, stats, n)
-    score = lambda p: p.join(members, "posting_id").select("qid", "id", squared_l2("point", "values").alias("distance"))
-    near = ranked(score(probed.filter(F.col("probe") <= first)), k)
-    limit = near.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("distance")).alias("limit"))
-    more = probed.filter(F.col("probe") > first).join(limit, "qid", "left").filter(F.col("limit").isNull() | (F.col("lower_bound") * (1 - 1e-6) <= F.col("limit"))).drop("limit")
-    return ranked(near.select("qid", "id", "distance").unionByName(score(more)), k)
+    The `first` postings in the order of their bounds give each query a k-th distance (k rows a query come to the driver, at most
+    `block` queries at a time); of the others only those whose bound is under it are read."""
+    bound_of = {int(r["posting_id"]): (r["max_radius"], r["max_l2_norm"]) for r in stats.toLocalIterator()}
+    parts = []
+    for qids, points in _blocks(queries, block):
+        plans = []
+        for point, (ids, d) in zip(points, _nearest_lists(centroids, points, n)):
+            radius, norm = np.array([bound_of.get(int(p), (np.inf, np.inf)) for p in ids]).T
+            low = np.maximum(np.maximum(np.sqrt(d) - radius, 0.0), np.maximum(np.sqrt(point @ point) - norm, 0.0)) ** 2
+            order = np.lexsort((ids, d, low))
+            plans.append((ids[order], low[order]))
+        near = ranked(_score(members, _by_posting([ids[:first] for ids, _ in plans]), qids, points, k), k).toPandas()
+        limit = near.groupby("qid")["distance"].agg(["size", "max"]).to_dict("index") if len(near) else {}
+        more = []
+        for q, (ids, low) in zip(qids, plans):
+            seen = limit.get(q)
+            more.append(ids[first:][low[first:] * (1 - 1e-6) <= seen["max"]] if seen and seen["size"] >= k else ids[first:])
+        parts.append(members.sparkSession.createDataFrame(near[["qid", "id", "distance"]], "qid long, id long, distance double"))
+        parts.append(_score(members, _by_posting(more), qids, points, k))
+    return _union(parts, members, k)
 
 
 def coarse_layer(centroids: dict[int, np.ndarray], iterations: int = 2) -> tuple[np.ndarray, dict[int, int]]:
