@@ -38,6 +38,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        path = common.new_path(spark, "stage-" + name.replace(" ", "-"))
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            common.drop_path(spark, before)
+        before = path
     return docs
