@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quivra.llm import common, packing, quality, simhash, toxicity
+from quivra.llm import common, packing, quality, similar, toxicity
 from quivra.llm.queries import tokenizer_path
 
 
@@ -21,8 +21,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    return simhash.keep_one(docs, radius=4, width=4)
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), that of the smallest doc_id."""
+    return similar.keep_one(docs, similarity=0.8, width=5, radius=4)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
