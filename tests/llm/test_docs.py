@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quivra.llm import chat, components, quality, queries, simhash, toxicity
+from quivra.llm import chat, components, quality, queries, simhash, similar, toxicity
 from tests.conftest import same_rows
 
 SCHEMA = "doc_id long, text string"
@@ -190,6 +190,51 @@ def test_near_duplicates(spark):
     assert sorted(r["doc_id"] is None for r in simhash.keep_one(nameless).collect()) == [False, True]
 
 
+def alike(texts, width=5, similarity=0.8):
+    """The smallest id of each text's component by whole shingle sets."""
+    ids, sets = list(texts), []
+    for t in texts.values():
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    parent = list(range(len(ids)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(ids)), 2):
+        if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    groups = {}
+    for i in range(len(ids)):
+        groups.setdefault(find(i), []).append(ids[i])
+    return {ids[i]: min(groups[find(i)]) for i in range(len(ids))}
+
+
+def test_similar_documents(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [None, "", " \n", "one", "One", "a b c d"]
+    for _ in range(6):
+        first = rng.choices(words, k=rng.choice([40, 200, 900]))
+        for k in range(6):
+            copy = list(first)
+            for _ in range(k * len(copy) // 150):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    passage = " ".join(rng.choices(words, k=60))
+    texts += [" ".join(rng.choices(words, k=150)) + " " + passage for _ in range(5)]
+    df = docs(spark, texts)
+    want = set(alike(dict(enumerate(texts))).values())
+    kept = similar.keep_one(df.union(df))
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    nameless = spark.createDataFrame([(None, texts[6]), (None, texts[7]), (5, "other words stand here now")], SCHEMA)
+    assert sorted(r["doc_id"] is None for r in similar.keep_one(nameless).collect()) == [False, True]
+    assert similar.keep_one(df.filter("doc_id < 0")).count() == 0
+
+
 # ---- toxicity
 
 
@@ -236,8 +281,7 @@ def test_pipeline_against_brute_force(spark, small):
     texts = {r["doc_id"]: r["text"] for r in raw.collect() if scorer.score(r["text"]) < 0.7}
     judged = {r["doc_id"]: r["kept"] for r in quality.judge(raw).collect()}
     texts = {i: t for i, t in texts.items() if judged[i]}
-    classes = linked(list(texts), [slow_fingerprint(t) for t in texts.values()])
-    want = set(classes.values())
+    want = set(alike(texts).values())
     found = pipeline.run(spark, small)
     assert {r["doc_id"] for r in found.select("doc_id").distinct().collect()} == want
     from tests.llm.test_text import reference_ids
