@@ -9,6 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """An object of this worker process; at most one is held, so what earlier stages left in a reused worker is freed."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 

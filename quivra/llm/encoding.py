@@ -11,6 +11,8 @@ import re
 import struct
 import unicodedata
 
+from quivra.llm.common import held
+
 #: Python's \s has \x1c-\x1f beyond Unicode's White_Space; texts with one are encoded as a whole.
 _ODD = re.compile("[\x1c-\x1f]")
 #: The white-space rules of the byte-level pattern: a single space goes with the word behind it; of a longer run, the last character stands apart.
@@ -19,7 +21,6 @@ _BYTE_LEVEL = re.compile(r" ?\S+|\s+(?!\S)|\s")
 _RUNS = ("  ", " \n", "\n ", "\n\n")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 _LONG = 64
-_encoders: dict[str, "ChunkEncoder"] = {}
 
 
 def _byte_chars() -> dict[int, str]:
@@ -116,8 +117,6 @@ class ChunkEncoder:
         return b"".join([*((self._one("\n") if k else b"") + self._one(x) for k, x in enumerate(first.split("\n"))), *out])
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, max_chunks: int = 1_500_000) -> ChunkEncoder:
     """One for each worker process and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    return held(("tokens", path, max_chunks), lambda: ChunkEncoder(path, max_chunks))

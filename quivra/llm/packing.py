@@ -28,9 +28,9 @@ from quivra.llm.encoding import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _cut(tokenizer: str, end_id: int, capacity: int):
+def _cut(tokenizer: str, end_id: int, capacity: int, max_chunks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc, end = encoder(tokenizer, max_chunks), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -46,8 +46,8 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
     return run
 
 
-def pieces(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return id_and_text(df, id_col, text_col).mapInArrow(_cut(tokenizer, end_id, capacity), PIECES)
+def pieces(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", max_chunks: int = 1_500_000) -> DataFrame:
+    return id_and_text(df, id_col, text_col).mapInArrow(_cut(tokenizer, end_id, capacity, max_chunks), PIECES)
 
 
 def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,10 +177,10 @@ def _placed(base: dict, runs: dict):
     return run
 
 
-def pack(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows_a_salt: int = 500_000, max_salts: int = 256) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", rows_a_salt: int = 500_000, max_salts: int = 256, max_chunks: int = 1_500_000) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = df.sparkSession
-    cut = written(pieces(df, tokenizer, end_id, capacity, id_col, text_col), "pieces")
+    cut = written(pieces(df, tokenizer, end_id, capacity, id_col, text_col, max_chunks), "pieces")
     total = cut.count()
     salts = int(min(max_salts, max(16, total // rows_a_salt + 1)))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))

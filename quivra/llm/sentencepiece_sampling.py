@@ -25,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quivra.llm.common import id_and_text
+from quivra.llm.common import held, id_and_text
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-_lattices: dict[tuple, "Lattice"] = {}
 
 
 class Lattice:
@@ -221,10 +220,7 @@ SCHEMA = "doc_id long, rank int, log_prob double, perturbed double, inclusion do
 
 def _sampled(model: str, k: int, theta: float, seed: int, batch_docs: int = 400):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (model, theta)
-        if key not in _lattices:
-            _lattices[key] = Lattice(model, theta)
-        lattice = _lattices[key]
+        lattice = held(("lattice", model, theta), lambda: Lattice(model, theta))
         for batch in batches:
             for at in range(0, batch.num_rows, batch_docs):
                 part = batch.slice(at, batch_docs)

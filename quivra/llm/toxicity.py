@@ -17,7 +17,9 @@ scored alike; an empty table gives no rows."""
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quivra.llm.common import quoted
+from quivra.llm.common import held, quoted
 
 FEATURES = 7
 _WORD = re.compile(r"[^\W\d_]+")
@@ -40,7 +42,7 @@ def words_of(text: str | None) -> list[str]:
 class KneserNey:
     """counts: word -> number, one for ordinary (0) and toxic (1) documents."""
 
-    def __init__(self, counts: tuple[dict, dict], order: int = 8, discount: float = 0.75, max_words: int = 500_000):
+    def __init__(self, counts: tuple[dict, dict], order: int = 8, discount: float = 0.75, least: int = 3, max_words: int = 300_000):
         self.order, self.discount, self.max_words = order, discount, max_words
         self.top: list[dict] = [{}, {}]
         for c in (0, 1):
@@ -48,10 +50,12 @@ class KneserNey:
             for word, n in counts[c].items():
                 for gram in self._grams(word):
                     grams[gram] = grams.get(gram, 0) + n
-        self.context = [self._contexts(x) for x in self.top]
-        # a gram at the start of a word has no left neighbour: it keeps its count, any other counts its neighbours
         level = Counter(self.top[0])
         level.update(self.top[1])
+        # contexts met less than `least` times are no evidence: they back off, in either class and in the shared counts
+        self.context = [self._contexts(x, least) for x in self.top]
+        self.top = [{g: n for g, n in self.top[c].items() if g[:-1] in self.context[c]} for c in (0, 1)]
+        # a gram at the start of a word has no left neighbour: it keeps its count, any other counts its neighbours
         self.lower: dict = {g: n for g, n in level.items() if len(g) < order}
         longer = [g for g in level if len(g) == order]
         for size in range(order - 1, 0, -1):
@@ -59,7 +63,8 @@ class KneserNey:
             below.update(g[1:] for g in level if len(g) == size + 1 < order)
             self.lower.update(below)
             longer = list(below)
-        self.lower_context = self._contexts(self.lower)
+        self.lower_context = self._contexts(self.lower, least)
+        self.lower = {g: n for g, n in self.lower.items() if g[:-1] in self.lower_context}
         self.letters = max(2, len({g[-1] for g in level}))
         self.seen: dict[str, float] = {}
         self.grams: dict[str, float] = {}
@@ -73,12 +78,12 @@ class KneserNey:
             yield line[max(0, end - self.order) : end]
 
     @staticmethod
-    def _contexts(grams: dict) -> dict:
+    def _contexts(grams: dict, least: int) -> dict:
         out: dict = {}
         for gram, n in grams.items():
             total, kinds = out.get(gram[:-1], (0, 0))
             out[gram[:-1]] = (total + n, kinds + 1)
-        return out
+        return {h: x for h, x in out.items() if x[0] >= least}
 
     def _shared(self, gram: str) -> float:
         p = 1.0 / self.letters
@@ -163,6 +168,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return b
 
 
+def _sent(spark, thing):
+    """A function that gives `thing` in a worker: sent as bytes, and unpickled once a worker."""
+    raw = pickle.dumps(thing)
+    key, shared = ("toxicity", zlib.crc32(raw), len(raw)), spark.sparkContext.broadcast(raw)
+    return lambda: held(key, lambda: pickle.loads(shared.value))
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
@@ -172,7 +184,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["toxic", "word", "n"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: int = 8, window: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1200, order: int = 8, window: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
     """Fits on labels that are not held out; the sample is bounded by per_class, and whole texts are taken.
 
     Of ten sample rows seven give the counts and three the logistic curve."""
@@ -195,11 +207,12 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: i
         sample.unpersist()
         return None
     model = KneserNey(counts, order)
-    shared = spark.sparkContext.broadcast(model)
+    sent = _sent(spark, model)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = sent()
         for batch in batches:
-            found = [describe(shared.value, t, window) for t in batch["text"]]
+            found = [describe(one, t, window) for t in batch["text"]]
             yield pd.DataFrame(found, columns=names).assign(toxic=batch["toxic"].to_numpy())
 
     names = [f"x{k}" for k in range(FEATURES)]
@@ -209,9 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: i
     if len(set(y)) < 2:
         return Scorer(model, np.zeros(FEATURES), np.ones(FEATURES), np.eye(FEATURES + 1)[1], window)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    share = np.array([total[0], total[1]]) / (total[0] + total[1])
-    share = np.sqrt(share)  # half way between the labels' shares and even ones: a missed toxic document costs more
-    weight = np.where(y == 1, share[1] / y.mean(), share[0] / (1 - y.mean()))
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes count alike
     return Scorer(model, mean, scale, _logistic((x - mean) / scale, y, weight), window)
 
 
@@ -223,11 +234,11 @@ def held_out(id_column: Column) -> Column:
 def score_column(documents: DataFrame, scorer: Scorer | None, text: Column) -> Column:
     if scorer is None:
         return F.lit(0.0)
-    shared = documents.sparkSession.sparkContext.broadcast(scorer)
+    sent = _sent(documents.sparkSession, scorer)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = shared.value
+        one = sent()
         for texts in batches:
             yield pd.Series([one.score(x) for x in texts], dtype=float)
 
