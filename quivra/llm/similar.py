@@ -6,8 +6,10 @@ that the covering tables link within `radius` bits, and texts that agree in a sa
 with probability s^least: with 24 parts of 6, pairs of 0.8 are missed once in a thousand. Candidates become links only if the
 similarity (Jaccard) of their whole shingle sets is high enough, so common passages link nothing.
 
-Texts with equal words are one node. In a bucket all nodes are compared with two of it, not with each other: with the one that has the
-most company in all its buckets, as the original of a family has, and with the least. Nodes are 64-bit hashes.
+Texts with equal words are one node. In a bucket all nodes are first compared with two of it: with the one that has the most company in all
+its buckets, as the original of a family has, and with the least. What these links leave in several components is then compared whole,
+each with each, in blocks of at most `block` nodes; only pairs that links already join are left out, which changes no component. Texts whose
+fingerprints the covering tables join are one more bucket. Nodes are 64-bit hashes.
 
 Nulls, ties and repeated rows as in simhash.keep_one(): one row of each component stays, of the smallest doc_id."""
 
@@ -83,21 +85,78 @@ def _pairs(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def candidates(nodes: DataFrame, radius: int, cap: int) -> DataFrame:
-    """(a, b), a < b: pairs of nodes(node, fp, parts) to be compared."""
-    first = written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    same = nodes.join(first, "fp").select(*_pairs("node", "head"))
-    near = links(first.select("fp"), radius, cap)
-    u, v = (first.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}")) for x in ("u", "v"))
-    near = near.join(u, "u").join(v, "v").select(*_pairs("hu", "hv"))
-    rows = written(nodes.select("node", F.posexplode("parts").alias("t", "k")), "samples")
+def buckets(nodes: DataFrame, radius: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """Of nodes(node, fp, parts): the rows (t, k, node) of buckets with company, and per bucket (t, k, most, low).
+
+    k of part t is a sample's fingerprint; of t = -1 the component of fingerprints within the radius."""
+    near = components(links(nodes.select("fp").distinct(), radius, cap)).select(F.col("node").alias("fp"), "root")
+    joined = nodes.select("node", "fp").join(near, "fp", "left").select("node", F.lit(-1).alias("t"), F.coalesce("root", "fp").alias("k"))
+    rows = written(nodes.select("node", F.posexplode("parts").alias("t", "k")).union(joined), "samples")
     size = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
     busy = written(rows.join(size, ["t", "k"]), "busy")
     company = busy.groupBy("node").agg(F.sum("n").alias("company"))
     heads = busy.join(company, "node").groupBy("t", "k").agg(F.max_by("node", F.struct("company", "node")).alias("most"), F.min("node").alias("low"))
-    met = busy.select("t", "k", "node").join(heads, ["t", "k"])
+    return busy.select("t", "k", "node"), written(heads, "heads")
+
+
+def candidates(busy: DataFrame, heads: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of nodes to be compared first, each node with two of its bucket."""
+    met = busy.join(heads, ["t", "k"])
     both = met.select(*_pairs("node", "most")).union(met.select(*_pairs("node", "low")))
-    return same.union(near).union(both).filter("a != b").distinct()
+    return both.filter("a != b").distinct()
+
+
+def unresolved(busy: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
+    """(t, k, node, root, n) of the buckets whose nodes, but for the two that all were compared with, are in several components."""
+    rest = busy.join(heads, ["t", "k"]).filter("node != most and node != low").join(roots, "node", "left").select("t", "k", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rest.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("t", "k", "n")
+    return rest.join(open_, ["t", "k"])
+
+
+def _linked(similarity: float):
+    """Links of one unit (two blocks of a bucket): each node is compared with all that are not yet in its component."""
+
+    def run(unit: pd.DataFrame) -> pd.DataFrame:
+        sets, node, label = unit["hashes"].tolist(), unit["node"].to_numpy(), unit["root"].to_numpy().copy()
+        size = np.array([len(x) for x in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets)), size)
+        values, place = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(size)
+        mark, us, vs = np.zeros(len(values), bool), [], []
+        for i in range(len(sets)):
+            # an earlier node has been compared with this one
+            if not (label[i + 1 :] != label[i]).any():
+                continue
+            mine = place[ends[i] - size[i] : ends[i]]
+            mark[mine] = True
+            common = np.bincount(owner[mark[place]], minlength=len(sets))
+            mark[mine] = False
+            near = np.flatnonzero((label != label[i]) & (common >= similarity * np.maximum(1, size[i] + size - common)))
+            if len(near):
+                us += [node[i]] * len(near)
+                vs += node[near].tolist()
+                label[np.isin(label, label[near])] = label[i]
+        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+
+    return run
+
+
+def compared(rest: DataFrame, texts: DataFrame, similarity: float, width: int, block: int) -> DataFrame:
+    """(u, v): links among unresolved(...) nodes; a bucket's blocks meet in twos, so a unit has at most two blocks."""
+    spread = rest.withColumn("blocks", F.ceil(F.col("n") / block).cast("long")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    spread = spread.select("t", "k", "node", "root", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("t", "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root")
+    hashes = texts.join(rest.select("node").distinct(), "node", "left_semi").select("node", shingles_udf(width)("text").alias("hashes"))
+    units = spread.join(written(hashes, "shingles"), "node")
+    return units.groupBy("t", "k", "i", "j").applyInPandas(lambda x: _linked(similarity)(x), "u long, v long")
+
+
+def shingles_udf(width: int):
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(words_of(x), width).view(np.int64) for x in texts])
+
+    return of
 
 
 def jaccard_udf(width: int):
@@ -115,19 +174,26 @@ def jaccard_udf(width: int):
     return of
 
 
-def similar_nodes(df: DataFrame, similarity: float, width: int, radius: int, cap: int, parts: int, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def similar_nodes(df: DataFrame, similarity: float, width: int, radius: int, cap: int, parts: int, least: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """((doc_id, node) of each row, (node, root) of linked nodes)."""
     source = id_and_text(df, id_col, text_col)
     marks = written(source.mapInArrow(_marks(width, parts, least), "doc_id long, node long, fp long, parts array<long>"), "marks")
     nodes = written(marks.groupBy("node").agg(F.first("fp").alias("fp"), F.first("parts").alias("parts")), "nodes")
-    pairs = written(candidates(nodes, radius, cap), "candidates")
+    busy, heads = buckets(nodes, radius, cap)
+    pairs = written(candidates(busy, heads), "candidates")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     node = node_udf()
     texts = source.select(node("text").alias("node"), "text").join(asked, "node", "left_semi").dropDuplicates(["node"])
     texts = written(texts, "texts")
     left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     found = pairs.join(left, "a").join(right, "b").filter(jaccard_udf(width)("ta", "tb") >= similarity)
-    return marks.select("doc_id", "node"), components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    found = written(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "found")
+    roots = components(found)
+    rest = written(unresolved(busy, heads, roots), "unresolved")
+    if not rest.isEmpty():
+        more = written(compared(rest, texts, similarity, width, block), "more")
+        roots = components(found.union(more))
+    return marks.select("doc_id", "node"), roots
 
 
 def node_udf():
@@ -138,10 +204,10 @@ def node_udf():
     return of
 
 
-def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 4, cap: int = 1024, parts: int = 24, least: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 4, cap: int = 1024, parts: int = 24, least: int = 6, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with one document of each component, columns unchanged."""
     names = df.columns
-    rows, roots = similar_nodes(df, similarity, width, radius, cap, parts, least, id_col, text_col)
+    rows, roots = similar_nodes(df, similarity, width, radius, cap, parts, least, block, id_col, text_col)
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node"))
     each = rows.groupBy("node").agg(owner.alias("x"))
     whole = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("x").alias("x"))
