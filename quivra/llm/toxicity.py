@@ -7,8 +7,11 @@ itself has evidence. A word's value is the difference of its two log-likelihoods
 differences: over all its words, over its best window of `window` words and of one word. A logistic curve,
 fitted on sample rows that the models have not seen, turns these into a score from 0 to 1.
 
-The classifier is fitted on a bounded sample of labelled rows, `per_class` documents of each class, the lowest by
-a hash of doc_id; every document is scored, over its whole text. Labels, lang, source and doc_id are no inputs.
+The models count all labelled rows that are not held out but for those of the curve: three of ten of the `per_class` documents of each class
+that are lowest by a hash of doc_id. Every document is scored, over its whole text. Labels, lang, source and doc_id are no inputs.
+
+Words are counted in the cluster; the driver gets one row for each different word and class. The models are sorted arrays of 64-bit hashes of
+character n-grams with their counts, all of them: a context met once is evidence.
 
 Nulls: a null text counts as empty. A text without letters has the score of no evidence. Labels that are null or
 without a document are left out. Without labelled rows of both classes every score is 0. Repeated rows are
@@ -39,95 +42,158 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x + np.uint64(1)) * _MIX
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _codes(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+
+
+def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each length up to order: the hash of so many characters that end at a place; those that reach over the start are of no use."""
+    mixed, power = _mixed(codes), np.uint64(1)
+    out = [np.zeros(len(codes), np.uint64)]
+    for size in range(1, order + 1):
+        back = np.zeros(len(codes), np.uint64)
+        back[size - 1 :] = mixed[: max(0, len(codes) - size + 1)]
+        out.append(out[-1] + back * power)
+        power = np.uint64(int(power) * int(_STEP) % (1 << 64))
+    return out
+
+
+def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different keys, ascending, and the sums of each column."""
+    unique, place = np.unique(keys, return_inverse=True)
+    return unique, *[np.bincount(place, c, len(unique)) for c in columns]
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of keys in a sorted table."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class KneserNey:
-    """counts: word -> number, one for ordinary (0) and toxic (1) documents."""
+    """counts: word -> number, one for ordinary (0) and toxic (1) documents.
+
+    Per gram and per context a row in sorted arrays, found by the hash of its characters."""
 
-    def __init__(self, counts: tuple[dict, dict], order: int = 8, discount: float = 0.75, least: int = 3, max_words: int = 300_000):
+    def __init__(self, counts: tuple[dict, dict], order: int = 8, discount: float = 0.75, max_words: int = 300_000, chunk: int = 50_000):
         self.order, self.discount, self.max_words = order, discount, max_words
-        self.top: list[dict] = [{}, {}]
-        for c in (0, 1):
-            grams = self.top[c]
-            for word, n in counts[c].items():
-                for gram in self._grams(word):
-                    grams[gram] = grams.get(gram, 0) + n
-        level = Counter(self.top[0])
-        level.update(self.top[1])
-        # contexts met less than `least` times are no evidence: they back off, in either class and in the shared counts
-        self.context = [self._contexts(x, least) for x in self.top]
-        self.top = [{g: n for g, n in self.top[c].items() if g[:-1] in self.context[c]} for c in (0, 1)]
+        grams, levels, letters = [], [[] for _ in range(order)], set()
+        words = [*counts[0], *(w for w in counts[1] if w not in counts[0])]
+        for at in range(0, len(words), chunk):
+            part = words[at : at + chunk]
+            hashes, size, word, last, rows = self._positions(part)
+            letters.update(np.unique(last).tolist())
+            top, context = self._top(hashes, size, rows)
+            n = [np.array([counts[c].get(w, 0) for w in part], float)[word] for c in (0, 1)]
+            key, first = np.unique(top, return_index=True)
+            grams.append((key, context[first], size[first], *_summed(top, *n)[1:]))
+            for k in range(1, order):
+                at_k = rows[size > k]
+                longer, first = np.unique(hashes[k + 1][at_k], return_index=True)
+                levels[k].append((longer, hashes[k][at_k[first]], hashes[k - 1][at_k[first] - 1]))
+        joined = lambda parts, c, kind=np.uint64: np.concatenate([x[c] for x in parts]) if parts else np.zeros(0, kind)
+        _, first = np.unique(joined(grams, 0), return_index=True)
+        context, size = joined(grams, 1)[first], joined(grams, 2, np.int64)[first]
+        self.top, *n = _summed(joined(grams, 0), joined(grams, 3), joined(grams, 4))
+        self.top_n = [x.astype(np.uint32) for x in n]
+        self.context, *known = _summed(context, *n, *[x > 0 for x in n])
+        self.context_n, self.context_kinds = known[:2], [x.astype(np.uint32) for x in known[2:]]
         # a gram at the start of a word has no left neighbour: it keeps its count, any other counts its neighbours
-        self.lower: dict = {g: n for g, n in level.items() if len(g) < order}
-        longer = [g for g in level if len(g) == order]
-        for size in range(order - 1, 0, -1):
-            below = Counter(g[1:] for g in longer)
-            below.update(g[1:] for g in level if len(g) == size + 1 < order)
-            self.lower.update(below)
-            longer = list(below)
-        self.lower_context = self._contexts(self.lower, least)
-        self.lower = {g: n for g, n in self.lower.items() if g[:-1] in self.lower_context}
-        self.letters = max(2, len({g[-1] for g in level}))
+        self.lower, self.lower_n, self.lower_context, self.lower_total, self.lower_kinds = ([None] * order for _ in range(5))
+        for k in range(1, order):
+            _, first = np.unique(joined(levels[k], 0), return_index=True)
+            start = size == k
+            key = np.concatenate((joined(levels[k], 1)[first], self.top[start]))
+            above = np.concatenate((joined(levels[k], 2)[first], context[start]))
+            number = np.concatenate((np.ones(len(first)), (n[0] + n[1])[start]))
+            unique, first = np.unique(key, return_index=True)
+            self.lower[k], number = _summed(key, number)
+            self.lower_n[k] = number.astype(np.uint32)
+            self.lower_context[k], self.lower_total[k], kinds = _summed(above[first], number, np.ones(len(unique)))
+            self.lower_kinds[k] = kinds.astype(np.uint32)
+            levels[k] = []
+        self.letters = max(2, len(letters))
         self.seen: dict[str, float] = {}
-        self.grams: dict[str, float] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "seen": {}, "grams": {}}
-
-    def _grams(self, word: str):
-        line = "^" + word + "$"
-        for end in range(2, len(line) + 1):
-            yield line[max(0, end - self.order) : end]
-
-    @staticmethod
-    def _contexts(grams: dict, least: int) -> dict:
-        out: dict = {}
-        for gram, n in grams.items():
-            total, kinds = out.get(gram[:-1], (0, 0))
-            out[gram[:-1]] = (total + n, kinds + 1)
-        return {h: x for h, x in out.items() if x[0] >= least}
-
-    def _shared(self, gram: str) -> float:
-        p = 1.0 / self.letters
-        for start in range(len(gram) - 1, -1, -1):
-            part = gram[start:]
-            if found := self.lower_context.get(part[:-1]):
-                total, kinds = found
-                p = (max(self.lower.get(part, 0) - self.discount, 0.0) + self.discount * kinds * p) / total
+        return {**self.__dict__, "seen": {}}
+
+    def _positions(self, words: list[str]):
+        """Hashes at all places of the words' lines; then for each gram its size, word and last character, and its place."""
+        codes = _codes("".join(f"^{w}$" for w in words))
+        length = np.array([len(w) + 2 for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), length)
+        inside = np.arange(len(codes)) - (np.cumsum(length) - length)[word]
+        rows = np.flatnonzero(inside > 0)
+        return _hashes(codes, self.order), np.minimum(inside[rows] + 1, self.order), word[rows], codes[rows], rows
+
+    def _top(self, hashes: list[np.ndarray], size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of each gram and of its context."""
+        key, context = np.empty(len(rows), np.uint64), np.empty(len(rows), np.uint64)
+        for k in range(2, self.order + 1):
+            mine = size == k
+            key[mine], context[mine] = hashes[k][rows[mine]], hashes[k - 1][rows[mine] - 1]
+        return key, context
+
+    def _low(self, hashes: list[np.ndarray], size: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Shared probability of the `size` characters that end at each of rows, from the shortest context up."""
+        p = np.full(len(rows), 1.0 / self.letters)
+        for k in range(1, self.order):
+            mine = np.flatnonzero(size >= k)
+            at, there = _found(self.lower_context[k], hashes[k - 1][rows[mine] - 1] if k > 1 else np.zeros(len(mine), np.uint64))
+            mine, at = mine[there], at[there]
+            place, known = _found(self.lower[k], hashes[k][rows[mine]])
+            number = np.where(known, self.lower_n[k][place] if len(self.lower[k]) else 0, 0)
+            p[mine] = (np.maximum(number - self.discount, 0.0) + self.discount * self.lower_kinds[k][at] * p[mine]) / self.lower_total[k][at]
         return p
 
-    def _gram(self, gram: str) -> float:
-        found = [self.context[c].get(gram[:-1]) for c in (0, 1)]
-        if not (found[0] or found[1]):
-            return 0.0  # both back off to the same
-        low = self._shared(gram[1:] if len(gram) == self.order else gram)
-        p = [low, low]
-        for c in (0, 1):
-            if found[c]:
-                total, kinds = found[c]
-                p[c] = (max(self.top[c].get(gram, 0) - self.discount, 0.0) + self.discount * kinds * low) / total
-        return math.log(p[1] / p[0])
-
-    def _word(self, word: str) -> float:
-        value = 0.0
-        for gram in self._grams(word):
-            x = self.grams.get(gram)
-            if x is None:
-                x = self._gram(gram)
-                if len(self.grams) >= self.max_words:
-                    self.grams.clear()
-                self.grams[gram] = x
-            value += x
-        return value
+    def _shared(self, gram: str) -> float:
+        codes = _codes(gram)
+        return float(self._low(_hashes(codes, self.order), np.array([len(gram)]), np.array([len(gram) - 1]))[0])
+
+    def _words(self, words: list[str]) -> np.ndarray:
+        hashes, size, word, _, rows = self._positions(words)
+        key, context = self._top(hashes, size, rows)
+        _, first, back = np.unique(key, return_index=True, return_inverse=True)
+        key, context, size, rows = key[first], context[first], size[first], rows[first]
+        at, there = _found(self.context, context)
+        value = np.zeros(len(key))  # where neither class has the context, both back off to the same
+        if there.any():
+            mine, at = np.flatnonzero(there), at[there]
+            low = self._low(hashes, np.minimum(size[mine], self.order - 1), rows[mine])
+            place, known = _found(self.top, key[mine])
+            p = []
+            for c in (0, 1):
+                total, number = self.context_n[c][at], np.where(known, self.top_n[c][place], 0)
+                own = (np.maximum(number - self.discount, 0.0) + self.discount * self.context_kinds[c][at] * low) / np.maximum(total, 1)
+                p.append(np.where(total > 0, own, low))
+            value[mine] = np.log(p[1] / p[0])
+        return np.bincount(word, value[back], len(words))
+
+    def learn(self, words) -> None:
+        """Puts the values of words that are not yet known into `seen`."""
+        new = [w for w in words if w not in self.seen]
+        if len(self.seen) + len(new) > self.max_words:
+            self.seen.clear()
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            self.seen.update((w, x) for w, x in zip(part, self._words(part).tolist()) if len(w) <= 48)
 
     def word(self, word: str) -> float:
         """log P(word | toxic) - log P(word | ordinary)."""
         value = self.seen.get(word)
-        if value is None:
-            value = self._word(word)
-            if len(self.seen) >= self.max_words:
-                self.seen.clear()
-            if len(word) <= 48:
-                self.seen[word] = value
-        return value
+        return value if value is not None else float(self._words([word])[0])
 
 
 def describe(model: KneserNey, text: str | None, window: int = 8) -> tuple[float, ...]:
@@ -137,6 +203,9 @@ def describe(model: KneserNey, text: str | None, window: int = 8) -> tuple[float
     if not words:
         return (0.0,) * FEATURES
     got = list(map(model.seen.get, words))
+    if None in got:
+        model.learn({w for w, x in zip(words, got) if x is None})
+        got = list(map(model.seen.get, words))
     if None in got:
         got = [x if x is not None else model.word(w) for x, w in zip(got, words)]
     x = np.array(got)
@@ -146,6 +215,11 @@ def describe(model: KneserNey, text: str | None, window: int = 8) -> tuple[float
     return float(x.mean()), float((sums[n:] - sums[:-n]).max() / n), float(x.max()), one / len(x), two / len(x), one / root, two / root
 
 
+def prepare(model: KneserNey, texts) -> None:
+    """Learns the words of several texts at once."""
+    model.learn({w for t in texts for w in words_of(t)} - model.seen.keys())
+
+
 class Scorer:
     def __init__(self, model: KneserNey, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray, window: int):
         self.model, self.mean, self.scale, self.weight, self.window = model, mean, scale, weight, window
@@ -177,17 +251,35 @@ def _sent(spark, thing):
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def rows():
+        for c in (0, 1):
+            if counts[c]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(counts[c]), c, np.int32)), pa.array(list(counts[c]), pa.string()), pa.array(list(counts[c].values()), pa.int64())], names=["toxic", "word", "n"])
+                counts[c].clear()
+
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
             counts[toxic].update(words_of(text.as_py()))
-    rows = [(c, w, n) for c in (0, 1) for w, n in counts[c].items()]
-    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["toxic", "word", "n"])
+            if len(counts[toxic]) > 200_000:
+                yield from rows()
+    yield from rows()
+
+
+def _word_counts(rows: DataFrame) -> tuple[dict, dict]:
+    """word -> number of either class of rows(text, toxic)."""
+    found = rows.mapInArrow(_counted, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n")).toArrow()
+    counts: tuple[dict, dict] = ({}, {})
+    for batch in found.to_batches(max_chunksize=50_000):
+        for c, w, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            counts[c][w] = n
+    return counts
 
 
-def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1200, order: int = 8, window: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
-    """Fits on labels that are not held out; the sample is bounded by per_class, and whole texts are taken.
+def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: int = 8, window: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
+    """Fits on labels that are not held out; only the rows of the logistic curve are bounded by per_class, and whole texts are taken.
 
-    Of ten sample rows seven give the counts and three the logistic curve."""
+    Of the per_class lowest rows of a class three of ten give the curve; all other rows give the counts."""
     spark = documents.sparkSession
     known = labels.select(quoted(id_col).cast("long").alias("id"), quoted(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out(F.col("id"))).dropDuplicates(["id"])
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -198,26 +290,27 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 1200, order: i
         part = known.filter(F.col("toxic") == c).withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(per_class)
         picked = part if picked is None else picked.union(part)
     # at most 2 * per_class ids
-    ids = spark.createDataFrame(picked.select("id", "toxic", "h").toPandas())
-    sample = documents.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(ids), "id").persist()
-    train = F.pmod("h", F.lit(10)) < 7
-    rows = sample.filter(train).select("text", "toxic").mapInArrow(_counted, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n")).toPandas()
-    counts = tuple(dict(zip(part["word"], part["n"].astype(float))) for c in (0, 1) for part in [rows[rows["toxic"] == c]])
+    curve = spark.createDataFrame(picked.filter(F.pmod("h", F.lit(10)) >= 7).select("id", "toxic").toPandas(), "id long, toxic int")
+    texts = documents.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
+    counts = _word_counts(texts.join(known.join(F.broadcast(curve.select("id")), "id", "left_anti"), "id").select("text", "toxic"))
     if not (counts[0] and counts[1]):
-        sample.unpersist()
         return None
     model = KneserNey(counts, order)
+    del counts
     sent = _sent(spark, model)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one = sent()
         for batch in batches:
-            found = [describe(one, t, window) for t in batch["text"]]
+            found = []
+            for at in range(0, len(batch), 256):
+                part = batch["text"].iloc[at : at + 256].tolist()
+                prepare(one, part)
+                found += [describe(one, t, window) for t in part]
             yield pd.DataFrame(found, columns=names).assign(toxic=batch["toxic"].to_numpy())
 
     names = [f"x{k}" for k in range(FEATURES)]
-    seen = sample.filter(~train).mapInPandas(described, ", ".join(f"{x} double" for x in names) + ", toxic int").toPandas()
-    sample.unpersist()
+    seen = texts.join(F.broadcast(curve), "id").select("text", "toxic").mapInPandas(described, ", ".join(f"{x} double" for x in names) + ", toxic int").toPandas()
     x, y = seen[names].to_numpy(), seen["toxic"].to_numpy(float)
     if len(set(y)) < 2:
         return Scorer(model, np.zeros(FEATURES), np.ones(FEATURES), np.eye(FEATURES + 1)[1], window)
@@ -240,7 +333,12 @@ def score_column(documents: DataFrame, scorer: Scorer | None, text: Column) -> C
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one = sent()
         for texts in batches:
-            yield pd.Series([one.score(x) for x in texts], dtype=float)
+            out = []
+            for at in range(0, len(texts), 256):
+                part = texts.iloc[at : at + 256].tolist()
+                prepare(one.model, part)
+                out += [one.score(x) for x in part]
+            yield pd.Series(out, dtype=float)
 
     return scored(text.cast("string"))
 
