@@ -130,12 +130,19 @@ def refine(base: DataFrame, codes: DataFrame, plan: Plan, rounds: int = 2) -> Da
 
 
 def search(codes: DataFrame, plan: Plan, queries: DataFrame, k: int, max_queries: int = 1000) -> DataFrame:
-    """(qid, rank, id, distance) by |q|^2 + |r|^2 - 2 <q, decoded r>; the queries are broadcast while they are few."""
-    asked = queries.select("qid", permute(F.col("values").cast("array<double>"), plan.order).alias("q"))
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError("search in blocks of at most max_queries queries")
-    pairs = decode(codes, plan).crossJoin(F.broadcast(asked.withColumn("qq", norm2("q"))))
-    return ranked(pairs.select("qid", "id", (F.col("qq") + F.col("norm_sq") - 2 * dot("q", "decoded")).alias("distance")), k)
+    """(qid, rank, id, distance) by |q|^2 + |r|^2 - 2 <q, decoded r>; the queries are broadcast in blocks of `max_queries`."""
+    asked = queries.select("qid", permute(F.col("values").cast("array<double>"), plan.order).alias("q")).withColumn("qq", norm2("q"))
+    rows, out, low = decode(codes, plan), None, None
+    while True:
+        # the ends of a block are known by its ids, which are unique
+        left = asked if low is None else asked.filter(F.col("qid") > low)
+        top, n = left.select("qid").orderBy("qid").limit(max_queries).agg(F.max("qid"), F.count("*")).first()
+        if n or out is None:
+            pairs = rows.crossJoin(F.broadcast(left.filter(F.col("qid") <= F.lit(top))))
+            found = pairs.select("qid", "id", (F.col("qq") + F.col("norm_sq") - 2 * dot("q", "decoded")).alias("distance"))
+            out, low = found if out is None else out.unionByName(found), top
+        if n < max_queries:
+            return ranked(out, k)
 
 
 def quantization_mse(base: DataFrame, codes: DataFrame, plan: Plan) -> DataFrame:

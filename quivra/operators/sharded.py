@@ -34,9 +34,7 @@ def pruned_search(base: DataFrame, queries: DataFrame, k: int, shards: int) -> D
     """The same rows: the shard whose ball is nearest gives each query a k-th distance, and only shards whose ball comes
     nearer than that are searched further."""
     ball = balls(base, shards)
-    near = ball.crossJoin(F.broadcast(queries.select("qid", F.col("values").alias("point")).limit(4096)))
-    if queries.limit(4097).count() > 4096:
-        raise ValueError("search in blocks of at most 4096 queries")
+    near = queries.select("qid", F.col("values").alias("point")).crossJoin(F.broadcast(ball))  # a row a shard; queries are not bounded
     gap = F.greatest(F.sqrt(squared_l2("point", "centroid")) - F.col("radius"), F.lit(0.0))
     reach = near.select("qid", "point", "shard", (gap * gap).alias("bound"))
     first = reach.groupBy("qid").agg(F.min_by("shard", F.struct("bound", "shard")).alias("shard"), F.first("point").alias("point"))
