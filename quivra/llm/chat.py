@@ -9,13 +9,14 @@ many of the turns before it as fit `history` tokens; repeated turns are context,
 the span itself are under the loss mask: each once. A turn longer than that is a span of its own (in the first window, beside the system turn).
 
 Turns are gathered in blocks of `block` turns, so a conversation with a third of all rows is no single task; a
-later block starts without history but with the system turn. Nulls: a null text or role is empty, a null turn
+later block starts with the system turn and with the turns before it that fit `history`, handed on as a small tail a block. Spans still
+end where a block ends, so they can be shorter there. Nulls: a null text or role is empty, a null turn
 comes first, rows with a null conv_id are one conversation. Repeated rows are turns of their own, ties go by role
 and text. An empty table gives no windows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quivra.llm.common import quoted
@@ -45,26 +46,48 @@ def windows(df: DataFrame, budget: int = 1024, history: int = 128, block: int =
     line = F.concat(head, text, F.lit("</s>"))
     rows = df.select(quoted(conv_col).alias("conv_id"), F.coalesce(F.floor(turn / block), F.lit(0)).alias("block"), F.struct(turn.alias("turn"), role.alias("role"), line.alias("line"), F.length(head).alias("head"), F.length(text).alias("size"), count(line).alias("n")).alias("t"))
     gathered = lambda x: x.groupBy("conv_id", "block").agg(F.sort_array(F.collect_list("t")).alias("a"))
-    first = gathered(rows.filter("block <= 0")).withColumn("system", F.lit(None).cast(rows.schema["t"].dataType))
+    turn_type = rows.schema["t"].dataType
+    first = gathered(rows.filter("block <= 0")).withColumns({"system": F.lit(None).cast(turn_type), "tail": F.array().cast(f"array<{turn_type.simpleString()}>")})
     later = gathered(rows.filter("block > 0"))
     systems = rows.filter("block <= 0 and t.role = 'system'").groupBy("conv_id").agg(F.min("t").alias("system"))
     later = later.join(systems.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    tails = _tails(gathered(rows), history).withColumnsRenamed({"conv_id": "c", "block": "b"})
+    later = later.join(tails, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")), "left").drop("c", "b")
+    # the system turn is repeated anyway
+    later = later.withColumn("tail", F.expr("filter(coalesce(tail, array()), x -> system is null or x != system)"))
     return _spans(first.unionByName(later), budget, history)
 
 
+def _last(turns: str, history: int) -> Column:
+    """The last turns of an array that fit the history."""
+    return F.expr(f"""reverse(aggregate(reverse({turns}), named_struct('n', 0L, 'at', 0, 'on', true),
+        (s, x) -> if(s.on and s.n + x.n <= {history}, named_struct('n', s.n + x.n, 'at', s.at + 1, 'on', true), named_struct('n', s.n, 'at', s.at, 'on', false)),
+        s -> slice(reverse({turns}), 1, s.at)))""")
+
+
+def _tails(blocks: DataFrame, history: int) -> DataFrame:
+    """(conv_id, block, tail): the turns before each block that fit the history. A turn has a token at least, so `history` blocks reach back far enough."""
+    own = blocks.select("conv_id", "block", _last("a", history).alias("z"), F.expr(f"aggregate(a, 0L, (s, x) -> s + x.n) > {history}").alias("full"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(-max(1, history), -1)
+    # a block that does not fit whole ends the reach
+    told = own.select("conv_id", "block", F.collect_list(F.struct("z", "full")).over(before).alias("x"))
+    cut = f"aggregate(x, cast(array() as {blocks.schema['a'].dataType.simpleString()}), (s, b) -> if(b.full, b.z, concat(s, b.z)))"
+    return told.withColumn("y", F.expr(cut)).select("conv_id", "block", _last("y", history).alias("tail"))
+
+
 def _spans(blocks: DataFrame, budget: int, history: int) -> DataFrame:
-    own = "(system is null and a[0].role = 'system')"
-    step = blocks.withColumns({"k": F.expr(f"int({own})"), "sys": F.expr(f"if({own}, a[0], system)")})
+    own = "(system is null and size(tail) = 0 and a[0].role = 'system')"
+    step = blocks.withColumns({"k": F.expr(f"if({own}, 1, size(tail))"), "sys": F.expr(f"if({own}, a[0], system)"), "a": F.expr("concat(tail, a)")})
     step = step.withColumn("p", F.expr("aggregate(a, array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x.n)))"))
     step = step.withColumn("cap", F.greatest(F.lit(budget - history) - F.coalesce("sys.n", F.lit(0)), F.lit(1)))
     # the first turn of each span: greedy over differences of prefix sums
     starts = """if(size(a) <= k, array(0), aggregate(sequence(k, size(a) - 1), named_struct('at', array(k), 'cur', k),
         (s, i) -> if(i > s.cur and p[i + 1] - p[s.cur] > cap, named_struct('at', concat(s.at, array(i)), 'cur', i), s), s -> s.at))"""
     step = step.withColumn("starts", F.expr(starts))
-    spans = f"""transform(starts, (s, w) -> named_struct('w', w, 's', if(w = 0, 0, s), 'e', coalesce(get(starts, w + 1), size(a)),
-        'h', if(w = 0, s, filter(sequence(k, s), j -> p[s] - p[j] <= {history})[0])))"""
+    spans = f"""transform(starts, (s, w) -> named_struct('w', w, 's', if(w = 0 and size(tail) = 0, 0, s), 'e', coalesce(get(starts, w + 1), size(a)),
+        'h', if(w = 0 and size(tail) = 0, s, filter(sequence(if(size(tail) > 0, 0, k), s), j -> p[s] - p[j] <= {history})[0])))"""
     step = step.withColumn("spans", F.expr(spans))
-    context = "concat(if(sys is not null and (x.w > 0 or system is not null), array(sys), slice(a, 1, 0)), if(x.w = 0, slice(a, 1, 0), slice(a, x.h + 1, x.s - x.h)))"
+    context = "concat(if(sys is not null and (x.w > 0 or system is not null), array(sys), slice(a, 1, 0)), if(x.w = 0 and size(tail) = 0, slice(a, 1, 0), slice(a, x.h + 1, x.s - x.h)))"
     parts = step.select("conv_id", "block", F.explode(F.expr(f"transform(spans, x -> named_struct('window', x.w, 'context', {context}, 'own', slice(a, x.s + 1, x.e - x.s)))")).alias("x"))
     parts = parts.select("conv_id", "block", "x.window", "x.context", "x.own")
     before = "int(aggregate(context, 0L, (s, t) -> s + length(t.line)))"
