@@ -13,7 +13,7 @@ has no shards."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quivra.llm.common import quoted, written
@@ -77,9 +77,24 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write_shards(df: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the rows of df with unique ids, one folder a shard, and returns the directory."""
+    """Writes the rows of df, one folder a shard and page, and returns the directory of what was written. Ids may repeat."""
     assigned = written(assign(df, limit, id_col, text_col), "assigned")
-    keyed = assigned.select(F.col("doc_id").alias("__key"), F.concat_ws("-", F.concat(F.lit("s"), "shard"), "page").alias("__shard")).dropDuplicates(["__key"])
-    joined = df.join(keyed, quoted(id_col).eqNullSafe(F.col("__key"))).drop("__key")
-    joined.repartition("__shard").write.partitionBy("__shard").parquet(path)
-    return directory(assigned)
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    bits = F.concat(_bits(F.coalesce(quoted(id_col).cast("string"), F.lit("null"))), _bits(text))
+    rows = written(df.withColumns({"__bits": bits, "__bytes": F.octet_length(text).cast("long"), "__part": F.spark_partition_id()}), "shard-rows")
+    leaves = assigned.groupBy(F.col("shard").alias("__leaf")).agg((F.max("page") > 0).alias("__paged"))
+    depths = sorted(r[0] for r in assigned.select("depth").distinct().collect()) or [0]
+    # no leaf is a prefix of another, so the different bits have one each
+    prefixes = F.explode(F.array(*[F.substring("__bits", 1, d) for d in depths])).alias("__leaf")
+    placed = rows.join(rows.select("__bits").distinct().select("__bits", prefixes).join(leaves, "__leaf"), "__bits")
+    plain = placed.filter("not __paged").withColumn("__page", F.lit(0).cast("long"))
+    # equal rows are numbered within their partitions, after the counts of those before
+    paged = placed.filter("__paged")
+    before = Window.partitionBy("__bits").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offset = paged.groupBy("__bits", "__part").count().select("__bits", "__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__from"))
+    number = F.col("__from") + F.row_number().over(Window.partitionBy("__bits", "__part").orderBy("__leaf")) - 1
+    each = F.greatest(F.floor(F.lit(limit) / F.greatest("__bytes", F.lit(1))), F.lit(1))
+    paged = paged.join(offset, ["__bits", "__part"]).withColumn("__page", F.floor(number / each).cast("long")).drop("__from")
+    placed = plain.unionByName(paged).withColumn("__shard", F.concat_ws("-", F.concat(F.lit("s"), "__leaf"), "__page"))
+    placed.select(*[quoted(x) for x in df.columns], "__shard").repartition("__shard").write.partitionBy("__shard").parquet(path)
+    return directory(placed.select(F.col("__leaf").alias("shard"), F.col("__page").alias("page"), F.length("__leaf").alias("depth"), F.col("__bytes").alias("n_bytes")))
