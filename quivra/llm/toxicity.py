@@ -10,32 +10,38 @@ fitted on sample rows that the models have not seen, turns these into a score fr
 The models count all labelled rows that are not held out but for those of the curve: three of ten of the `per_class` documents of each class
 that are lowest by a hash of doc_id. Every document is scored, over its whole text. Labels, lang, source and doc_id are no inputs.
 
-Words are counted in the cluster; the driver gets one row for each different word and class. The models are sorted arrays of 64-bit hashes of
-character n-grams with their counts, all of them: a context met once is evidence.
+Words are counted in the cluster; the driver gets one row for each different word. A fitted model is two flat tables found by 64-bit hashes
+of character n-grams: the log-ratio of each gram met, a context met once included, and of each context for any gram not met behind it (there
+the shared backoff is the same in both classes and cancels). Whole batches of texts are hashed and looked up at once; nothing is remembered
+from one batch to the next.
 
 Nulls: a null text counts as empty. A text without letters has the score of no evidence. Labels that are null or
-without a document are left out. Without labelled rows of both classes every score is 0. Repeated rows are
-scored alike; an empty table gives no rows."""
+without a document are left out; an id that is labelled both ways counts as toxic. Without labelled rows of both classes every score is 0.
+Very long texts are read in pieces of `PIECE` characters that end between words; only a number a word is kept of them. Ties and repeated
+rows are scored alike, whatever stands beside them; an empty table gives no rows. Only the id and text columns are read, so others can't clash."""
 
 from __future__ import annotations
 
-import math
-import pickle
+import functools
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quivra.llm.common import held, quoted
+from quivra.llm.common import quoted
 
 FEATURES = 7
+#: Characters that are hashed at once.
+PIECE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
+_BETWEEN = re.compile(r"[\W\d_]")
+_BEGIN, _END = ord("^"), ord("$")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -43,190 +49,275 @@ def words_of(text: str | None) -> list[str]:
 
 
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x + np.uint64(1)) * _MIX
+@functools.cache
+def _mixed() -> np.ndarray:
+    """A number for each code point."""
+    x = (np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * _MIX
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
 
-def _codes(line: str) -> np.ndarray:
-    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-
-
-def _hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each length up to order: the hash of so many characters that end at a place; those that reach over the start are of no use."""
-    mixed, power = _mixed(codes), np.uint64(1)
-    out = [np.zeros(len(codes), np.uint64)]
-    for size in range(1, order + 1):
-        back = np.zeros(len(codes), np.uint64)
-        back[size - 1 :] = mixed[: max(0, len(codes) - size + 1)]
-        out.append(out[-1] + back * power)
-        power = np.uint64(int(power) * int(_STEP) % (1 << 64))
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether a code point belongs to words."""
+    points = np.arange(0x110000, dtype="<u4")
+    every = points[(points < 0xD800) | (points > 0xDFFF)].tobytes().decode("utf-32-le")
+    out = np.zeros(0x110000, bool)
+    out[np.frombuffer("".join(_WORD.findall(every)).encode("utf-32-le"), "<u4")] = True
     return out
 
 
-def _summed(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The different keys, ascending, and the sums of each column."""
-    unique, place = np.unique(keys, return_inverse=True)
-    return unique, *[np.bincount(place, c, len(unique)) for c in columns]
-
-
-def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, whether it is there) of keys in a sorted table."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
-class KneserNey:
-    """counts: word -> number, one for ordinary (0) and toxic (1) documents.
-
-    Per gram and per context a row in sorted arrays, found by the hash of its characters."""
-
-    def __init__(self, counts: tuple[dict, dict], order: int = 8, discount: float = 0.75, max_words: int = 300_000, chunk: int = 50_000):
-        self.order, self.discount, self.max_words = order, discount, max_words
-        grams, levels, letters = [], [[] for _ in range(order)], set()
-        words = [*counts[0], *(w for w in counts[1] if w not in counts[0])]
-        for at in range(0, len(words), chunk):
-            part = words[at : at + chunk]
-            hashes, size, word, last, rows = self._positions(part)
-            letters.update(np.unique(last).tolist())
-            top, context = self._top(hashes, size, rows)
-            n = [np.array([counts[c].get(w, 0) for w in part], float)[word] for c in (0, 1)]
-            key, first = np.unique(top, return_index=True)
-            grams.append((key, context[first], size[first], *_summed(top, *n)[1:]))
-            for k in range(1, order):
-                at_k = rows[size > k]
-                longer, first = np.unique(hashes[k + 1][at_k], return_index=True)
-                levels[k].append((longer, hashes[k][at_k[first]], hashes[k - 1][at_k[first] - 1]))
-        joined = lambda parts, c, kind=np.uint64: np.concatenate([x[c] for x in parts]) if parts else np.zeros(0, kind)
-        _, first = np.unique(joined(grams, 0), return_index=True)
-        context, size = joined(grams, 1)[first], joined(grams, 2, np.int64)[first]
-        self.top, *n = _summed(joined(grams, 0), joined(grams, 3), joined(grams, 4))
-        self.top_n = [x.astype(np.uint32) for x in n]
-        self.context, *known = _summed(context, *n, *[x > 0 for x in n])
-        self.context_n, self.context_kinds = known[:2], [x.astype(np.uint32) for x in known[2:]]
-        # a gram at the start of a word has no left neighbour: it keeps its count, any other counts its neighbours
-        self.lower, self.lower_n, self.lower_context, self.lower_total, self.lower_kinds = ([None] * order for _ in range(5))
-        for k in range(1, order):
-            _, first = np.unique(joined(levels[k], 0), return_index=True)
-            start = size == k
-            key = np.concatenate((joined(levels[k], 1)[first], self.top[start]))
-            above = np.concatenate((joined(levels[k], 2)[first], context[start]))
-            number = np.concatenate((np.ones(len(first)), (n[0] + n[1])[start]))
-            unique, first = np.unique(key, return_index=True)
-            self.lower[k], number = _summed(key, number)
-            self.lower_n[k] = number.astype(np.uint32)
-            self.lower_context[k], self.lower_total[k], kinds = _summed(above[first], number, np.ones(len(unique)))
-            self.lower_kinds[k] = kinds.astype(np.uint32)
-            levels[k] = []
-        self.letters = max(2, len(letters))
-        self.seen: dict[str, float] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "seen": {}}
-
-    def _positions(self, words: list[str]):
-        """Hashes at all places of the words' lines; then for each gram its size, word and last character, and its place."""
-        codes = _codes("".join(f"^{w}$" for w in words))
-        length = np.array([len(w) + 2 for w in words], np.int64)
-        word = np.repeat(np.arange(len(words)), length)
-        inside = np.arange(len(codes)) - (np.cumsum(length) - length)[word]
-        rows = np.flatnonzero(inside > 0)
-        return _hashes(codes, self.order), np.minimum(inside[rows] + 1, self.order), word[rows], codes[rows], rows
-
-    def _top(self, hashes: list[np.ndarray], size: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of each gram and of its context."""
-        key, context = np.empty(len(rows), np.uint64), np.empty(len(rows), np.uint64)
-        for k in range(2, self.order + 1):
-            mine = size == k
-            key[mine], context[mine] = hashes[k][rows[mine]], hashes[k - 1][rows[mine] - 1]
-        return key, context
-
-    def _low(self, hashes: list[np.ndarray], size: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Shared probability of the `size` characters that end at each of rows, from the shortest context up."""
-        p = np.full(len(rows), 1.0 / self.letters)
-        for k in range(1, self.order):
-            mine = np.flatnonzero(size >= k)
-            at, there = _found(self.lower_context[k], hashes[k - 1][rows[mine] - 1] if k > 1 else np.zeros(len(mine), np.uint64))
-            mine, at = mine[there], at[there]
-            place, known = _found(self.lower[k], hashes[k][rows[mine]])
-            number = np.where(known, self.lower_n[k][place] if len(self.lower[k]) else 0, 0)
-            p[mine] = (np.maximum(number - self.discount, 0.0) + self.discount * self.lower_kinds[k][at] * p[mine]) / self.lower_total[k][at]
-        return p
-
-    def _shared(self, gram: str) -> float:
-        codes = _codes(gram)
-        return float(self._low(_hashes(codes, self.order), np.array([len(gram)]), np.array([len(gram) - 1]))[0])
-
-    def _words(self, words: list[str]) -> np.ndarray:
-        hashes, size, word, _, rows = self._positions(words)
-        key, context = self._top(hashes, size, rows)
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        key, context, size, rows = key[first], context[first], size[first], rows[first]
-        at, there = _found(self.context, context)
-        value = np.zeros(len(key))  # where neither class has the context, both back off to the same
-        if there.any():
-            mine, at = np.flatnonzero(there), at[there]
-            low = self._low(hashes, np.minimum(size[mine], self.order - 1), rows[mine])
-            place, known = _found(self.top, key[mine])
-            p = []
-            for c in (0, 1):
-                total, number = self.context_n[c][at], np.where(known, self.top_n[c][place], 0)
-                own = (np.maximum(number - self.discount, 0.0) + self.discount * self.context_kinds[c][at] * low) / np.maximum(total, 1)
-                p.append(np.where(total > 0, own, low))
-            value[mine] = np.log(p[1] / p[0])
-        return np.bincount(word, value[back], len(words))
-
-    def learn(self, words) -> None:
-        """Puts the values of words that are not yet known into `seen`."""
-        new = [w for w in words if w not in self.seen]
-        if len(self.seen) + len(new) > self.max_words:
-            self.seen.clear()
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.seen.update((w, x) for w, x in zip(part, self._words(part).tolist()) if len(w) <= 48)
+_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_STEP and its inverse to the powers 0 .. n - 1."""
+    if len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        for k, x in enumerate((_STEP, _BACK)):
+            row = np.full(size, x, np.uint64)
+            row[0] = 1
+            _powers[k] = np.cumprod(row)
+    return _powers[0][:n], _powers[1][:n]
+
+
+class Lines:
+    """Words as `^word$`, one after the other: codes, length of each line, place within the line."""
+
+    def __init__(self, codes: np.ndarray, length: np.ndarray):
+        self.codes, self.length = codes, length
+        self.at = np.cumsum(length) - length
+        self.inside = np.arange(len(codes)) - np.repeat(self.at, length)
+        forth, back = _power(len(codes))
+        self.forth = forth
+        self.sums = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(_mixed()[codes] * back, out=self.sums[1:])
+
+    @classmethod
+    def of_text(cls, text: str) -> tuple[Lines, np.ndarray]:
+        """Of a lower-case text, with the place where each word starts."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        is_letter = _letters()[codes]
+        turn = np.flatnonzero(np.diff(is_letter.view(np.int8), prepend=0, append=0))
+        starts, size = turn[::2], turn[1::2] - turn[::2]
+        out = np.empty(int(size.sum()) + 2 * len(size), np.uint32)
+        at = np.cumsum(size + 2) - size - 2
+        out[at], out[at + size + 1] = _BEGIN, _END
+        letters = codes[is_letter]
+        out[np.arange(len(letters)) + np.repeat(2 * np.arange(len(size)) + 1, size)] = letters
+        return cls(out, size + 2), starts
+
+    @classmethod
+    def of_words(cls, words: list[str]) -> Lines:
+        codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
+        return cls(codes, np.array([len(w) + 2 for w in words], np.int64))
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each character behind a `^`: its place, the size of the longest gram of its line that ends there, the gram's hash and its context's."""
+        rows = np.flatnonzero(self.inside)
+        size = np.minimum(self.inside[rows] + 1, order)
+        before = self.sums[rows - size + 1]
+        return rows, size, (self.sums[rows + 1] - before) * self.forth[rows], (self.sums[rows] - before) * self.forth[rows - 1]
+
+
+class Table:
+    """Sorted hashes with a number each: an index by the first bits, and 32 further bits of each hash."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(1, int(len(keys) - 1).bit_length()) if len(keys) else 1
+        self.first = np.zeros((1 << self.bits) + 1, np.uint32)
+        self.first[1:] = np.cumsum(np.bincount((keys >> np.uint64(64 - self.bits)).astype(np.int64), minlength=1 << self.bits))
+        self.rest = self._rest(keys)
+        self.values = values.astype(np.float32)
+
+    def _rest(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(32 - self.bits)).astype(np.uint32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        bucket, rest = (keys >> np.uint64(64 - self.bits)).astype(np.int64), self._rest(keys)
+        at, end = self.first[bucket].astype(np.int64), self.first[bucket + 1]
+        out = np.full(len(keys), -1, np.int64)
+        todo = np.flatnonzero(at < end)
+        at, end, rest = at[todo], end[todo], rest[todo]
+        while len(todo):
+            same = self.rest[at] == rest
+            out[todo[same]] = at[same]
+            on = np.flatnonzero(~same & (at + 1 < end))
+            todo, at, end, rest = todo[on], at[on] + 1, end[on], rest[on]
+        return out
+
+
+class Model:
+    """Log-ratios of grams, and of contexts for all that is not met behind them."""
+
+    def __init__(self, grams: Table, contexts: Table, order: int):
+        self.grams, self.contexts, self.order = grams, contexts, order
+
+    def of_lines(self, lines: Lines) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word."""
+        rows, _, key, context = lines.grams(self.order)
+        place = self.grams.find(key)
+        value = np.where(place >= 0, self.grams.values[place] if len(self.grams.values) else 0, 0).astype(float)
+        new = np.flatnonzero(place < 0)
+        place = self.contexts.find(context[new])
+        there = place >= 0  # where neither class has the context, both back off to the same
+        value[new[there]] = self.contexts.values[place[there]]
+        # in order, so a word's sum does not depend on the words beside it
+        return np.bincount(np.repeat(np.arange(len(lines.length)), lines.length - 1), value, len(lines.length))
 
     def word(self, word: str) -> float:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        value = self.seen.get(word)
-        return value if value is not None else float(self._words([word])[0])
-
-
-def describe(model: KneserNey, text: str | None, window: int = 8) -> tuple[float, ...]:
-    """Length-normalised differences: of the whole text, its best window, its best word, and of what words have
+        return float(self.of_lines(Lines.of_words([word]))[0])
+
+    def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(value of each word, number of words of each text)."""
+        values, count = [np.zeros(0)], np.zeros(len(texts), np.int64)
+        held: list[str] = []
+        owners: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, owners, size
+            if held:
+                lines, starts = Lines.of_text("\n".join(held))
+                ends = np.cumsum([len(x) + 1 for x in held])
+                values.append(self.of_lines(lines))
+                np.add.at(count, np.array(owners), np.diff(np.searchsorted(starts, ends), prepend=0))
+            held, owners, size = [], [], 0
+
+        for k, text in enumerate(texts):
+            for part in pieces((text or "").lower()):
+                held.append(part)
+                owners.append(k)
+                size += len(part)
+                if size >= PIECE:
+                    flush()
+        flush()
+        return np.concatenate(values), count
+
+
+def pieces(text: str, size: int | None = None) -> Iterator[str]:
+    """The text in parts of about `size` characters that end between words (a longer word is in one part)."""
+    size, at = size or PIECE, 0
+    while len(text) - at > size:
+        cut = _BETWEEN.search(text, at + size)
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
+def _merged(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Joins sorted keys once what is new is as large as what was there."""
+    return [np.unique(np.concatenate(parts))] if sum(map(len, parts[1:])) >= len(parts[0]) else parts
+
+
+def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: int = 8, discount: float = 0.75, chunk: int = 50_000) -> Model:
+    """The model of words that occur counts[0] times in ordinary and counts[1] times in toxic documents.
+
+    Each gram is held as its characters' numbers, right-aligned, so shorter grams and contexts follow from the longest ones."""
+    mixed, step = _mixed(), [np.uint64(pow(int(_STEP), k, 1 << 64)) for k in range(order)]
+    keys, letters = [np.zeros(0, np.uint64)], np.zeros(0x110000, bool)
+    slices = [slice(at, at + chunk) for at in range(0, len(words), chunk)]
+    for part in slices:
+        lines = Lines.of_words(words[part])
+        letters[lines.codes] = True
+        keys = _merged([*keys, np.unique(lines.grams(order)[2])])
+    key = np.unique(np.concatenate(keys))
+    del keys
+    points = np.concatenate(([0], np.flatnonzero(letters)))
+    number_of = np.zeros(0x110000, np.uint32)
+    number_of[points[1:]] = np.arange(1, len(points))
+    n = [np.zeros(len(key), np.int64) for _ in (0, 1)]
+    chars = np.zeros((order, len(key)), np.uint16 if len(points) < 1 << 16 else np.uint32)  # row 0: the last character
+    for part in slices:
+        lines = Lines.of_words(words[part])
+        rows, size, found, _ = lines.grams(order)
+        word = np.repeat(np.arange(len(lines.length)), lines.length - 1)
+        unique, first, back = np.unique(found, return_index=True, return_inverse=True)
+        place = np.searchsorted(key, unique)
+        for c in (0, 1):
+            n[c][place] += np.bincount(back, np.asarray(counts[c][part], float)[word], len(unique)).astype(np.int64)
+        for j in range(order):
+            at = rows[first] - j
+            chars[j, place] = np.where(size[first] > j, number_of[lines.codes[np.maximum(at, 0)]], 0)
+    size = (chars > 0).sum(axis=0)
+    mix = np.concatenate(([np.uint64(0)], mixed[points[1:]]))
+    without_last = lambda keys, rows: (keys - mix[chars[0, rows]]) * _BACK
+
+    # level k: the different grams of k characters, each with the place in `key` of a gram that ends with it
+    every = np.arange(len(key))
+    at, at_key, level, inverse = every[size == order], key[size == order], {}, {}
+    for k in range(order - 1, 0, -1):
+        # continuations: how many different characters stand before a gram; at the start of a word its own count
+        shorter, first, inverse[k + 1], number = np.unique(at_key - mix[chars[k, at]] * step[k], return_index=True, return_inverse=True, return_counts=True)
+        begin = every[size == k] if k > 1 else every[:0]
+        at, at_key = np.concatenate((at[first], begin)), np.concatenate((shorter, key[begin]))
+        number = np.concatenate((number, (n[0] + n[1])[begin]))
+        group = np.unique(without_last(at_key, at), return_inverse=True)[1]
+        level[k] = number.astype(np.float64), group.astype(np.int32), len(begin)
+    p, low = np.full(1, 1.0 / max(2, len(points) - 2)), np.zeros(len(key))
+    for k in range(1, order):
+        number, group, begins = level.pop(k)
+        total, kinds = np.bincount(group, number), np.bincount(group)
+        below = p[inverse.pop(k)] if k > 1 else p[0]
+        p = (np.maximum(number - discount, 0.0) + discount * kinds[group] * below) / total[group]
+        if begins:
+            low[size == k] = p[len(p) - begins :]
+    low[size == order] = p[inverse.pop(order)]
+
+    contexts, group = np.unique(without_last(key, every), return_inverse=True)
+    ratio, default = np.zeros(len(key)), np.zeros(len(contexts))
+    for c, sign in ((0, -1), (1, 1)):
+        total, kinds = np.bincount(group, n[c], len(contexts)), np.bincount(group, n[c] > 0, len(contexts))
+        backoff = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+        default += sign * np.log(backoff)
+        ratio += sign * np.log(np.maximum(n[c] - discount, 0.0) / np.maximum(total, 1)[group] + backoff[group] * low)
+    return Model(Table(key, ratio), Table(contexts, default), order)
+
+
+def described(values: np.ndarray, count: np.ndarray, window: int = 8) -> np.ndarray:
+    """Length-normalised differences, a row a text: of all its words, its best window, its best word, and of what words have
     over one and over two nats (divided by the words and by their square root). Zeros without words."""
-    words = words_of(text)
-    if not words:
-        return (0.0,) * FEATURES
-    got = list(map(model.seen.get, words))
-    if None in got:
-        model.learn({w for w, x in zip(words, got) if x is None})
-        got = list(map(model.seen.get, words))
-    if None in got:
-        got = [x if x is not None else model.word(w) for x, w in zip(got, words)]
-    x = np.array(got)
-    sums = np.concatenate(([0.0], np.cumsum(x)))
-    n, root = min(window, len(x)), math.sqrt(len(x))
-    one, two = float(np.maximum(x - 1, 0).sum()), float(np.maximum(x - 2, 0).sum())
-    return float(x.mean()), float((sums[n:] - sums[:-n]).max() / n), float(x.max()), one / len(x), two / len(x), one / root, two / root
-
-
-def prepare(model: KneserNey, texts) -> None:
-    """Learns the words of several texts at once."""
-    model.learn({w for t in texts for w in words_of(t)} - model.seen.keys())
+    out = np.zeros((len(count), FEATURES))
+    own = np.flatnonzero(count)
+    if not len(own):
+        return out
+    size = count[own]
+    start = np.cumsum(size) - size
+    text = np.repeat(np.arange(len(own)), size)
+    inside = np.arange(len(values)) - start[text]
+    total = lambda x: np.bincount(text, x, len(own))
+    # words are added one by one, so sums don't depend on the texts beside
+    best, run = np.full(len(own), -np.inf), np.zeros(len(values))
+    for j in range(min(window, len(values))):
+        run[j:] += np.where(inside[j:] >= j, values[: len(values) - j], 0.0)
+    whole = np.where(inside + 1 >= np.minimum(window, size)[text], run, -np.inf)
+    best = np.maximum.reduceat(whole, start) / np.minimum(window, size)
+    one, two, root = total(np.maximum(values - 1, 0)), total(np.maximum(values - 2, 0)), np.sqrt(size)
+    out[own] = np.column_stack((total(values) / size, best, np.maximum.reduceat(values, start), one / size, two / size, one / root, two / root))
+    return out
 
 
 class Scorer:
-    def __init__(self, model: KneserNey, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray, window: int):
-        self.model, self.mean, self.scale, self.weight, self.window = model, mean, scale, weight, window
+    """Weights of the logistic curve and the model, which is sent to the workers once."""
+
+    def __init__(self, model: Broadcast | Model, mean: np.ndarray, scale: np.ndarray, weight: np.ndarray, window: int):
+        self.shared, self.mean, self.scale, self.weight, self.window = model, mean, scale, weight, window
+
+    @property
+    def model(self) -> Model:
+        return self.shared.value if isinstance(self.shared, Broadcast) else self.shared
 
-    def score(self, text: str | None) -> float:
-        x = (np.array(describe(self.model, text, self.window)) - self.mean) / self.scale
-        return float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weight[0] + x @ self.weight[1:]))))))
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        x = (described(*self.model.of_texts(texts), self.window) - self.mean) / self.scale
+        value = np.full(len(x), self.weight[0])
+        for k in range(FEATURES):  # one by one: a product of matrices may round by its number of rows
+            value += x[:, k] * self.weight[k + 1]
+        return 1 / (1 + np.exp(-np.clip(value, -30.0, 30.0)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -242,13 +333,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
     return b
 
 
-def _sent(spark, thing):
-    """A function that gives `thing` in a worker: sent as bytes, and unpickled once a worker."""
-    raw = pickle.dumps(thing)
-    key, shared = ("toxicity", zlib.crc32(raw), len(raw)), spark.sparkContext.broadcast(raw)
-    return lambda: held(key, lambda: pickle.loads(shared.value))
-
-
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
@@ -260,20 +344,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-            counts[toxic].update(words_of(text.as_py()))
-            if len(counts[toxic]) > 200_000:
+            for part in pieces((text.as_py() or "").lower()):
+                counts[toxic].update(_WORD.findall(part))
+            if len(counts[0]) + len(counts[1]) > 200_000:
                 yield from rows()
     yield from rows()
 
 
-def _word_counts(rows: DataFrame) -> tuple[dict, dict]:
-    """word -> number of either class of rows(text, toxic)."""
-    found = rows.mapInArrow(_counted, "toxic int, word string, n long").groupBy("toxic", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts: tuple[dict, dict] = ({}, {})
-    for batch in found.to_batches(max_chunksize=50_000):
-        for c, w, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            counts[c][w] = n
-    return counts
+def _learned(rows: DataFrame, order: int) -> Model | None:
+    """The model of rows(text, toxic); None without words of both classes."""
+    each = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(F.lit(0))).alias(f"n{c}") for c in (0, 1)]
+    found = rows.mapInArrow(_counted, "toxic int, word string, n long").groupBy("word").agg(*each).toArrow()
+    n0, n1 = (found.column(c).to_numpy() for c in ("n0", "n1"))
+    if not (n0.sum() and n1.sum()):
+        return None
+    return kneser_ney(_Words(found.column("word")), (n0, n1), order)
+
+
+class _Words:
+    """A column of words; a slice of it is a list."""
+
+    def __init__(self, column):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __getitem__(self, part: slice) -> list[str]:
+        return self.column.slice(part.start, part.stop - part.start).to_pylist()
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: int = 8, window: int = 8, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer | None:
@@ -281,7 +379,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: i
 
     Of the per_class lowest rows of a class three of ten give the curve; all other rows give the counts."""
     spark = documents.sparkSession
-    known = labels.select(quoted(id_col).cast("long").alias("id"), quoted(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out(F.col("id"))).dropDuplicates(["id"])
+    known = labels.select(quoted(id_col).cast("long").alias("id"), quoted(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)").filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if set(total) != {0, 1}:
         return None
@@ -292,31 +390,29 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: i
     # at most 2 * per_class ids
     curve = spark.createDataFrame(picked.filter(F.pmod("h", F.lit(10)) >= 7).select("id", "toxic").toPandas(), "id long, toxic int")
     texts = documents.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    counts = _word_counts(texts.join(known.join(F.broadcast(curve.select("id")), "id", "left_anti"), "id").select("text", "toxic"))
-    if not (counts[0] and counts[1]):
+    counted = known.join(F.broadcast(curve.select("id")), "id", "left_anti")
+    # labels grow with the documents: the join is the same one at every size
+    model = _learned(texts.join(counted.hint("merge"), "id").select("text", "toxic"), order)
+    if model is None:
         return None
-    model = KneserNey(counts, order)
-    del counts
-    sent = _sent(spark, model)
+    shared = spark.sparkContext.broadcast(model)
+    del model
 
-    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one = sent()
+    def seen_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for at in range(0, len(batch), 256):
-                part = batch["text"].iloc[at : at + 256].tolist()
-                prepare(one, part)
-                found += [describe(one, t, window) for t in part]
-            yield pd.DataFrame(found, columns=names).assign(toxic=batch["toxic"].to_numpy())
+            x = described(*shared.value.of_texts(batch.column(0).to_pylist()), window)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(FEATURES)), batch.column(1)], names=[*names, "toxic"])
 
     names = [f"x{k}" for k in range(FEATURES)]
-    seen = texts.join(F.broadcast(curve), "id").select("text", "toxic").mapInPandas(described, ", ".join(f"{x} double" for x in names) + ", toxic int").toPandas()
+    seen = texts.join(F.broadcast(curve), "id").select("text", "toxic").mapInArrow(seen_by, ", ".join(f"{x} double" for x in names) + ", toxic int").toPandas()
+    # a fixed order: the curve does not depend on the order of tasks
+    seen = seen.sort_values([*names, "toxic"], kind="stable")
     x, y = seen[names].to_numpy(), seen["toxic"].to_numpy(float)
     if len(set(y)) < 2:
-        return Scorer(model, np.zeros(FEATURES), np.ones(FEATURES), np.eye(FEATURES + 1)[1], window)
+        return Scorer(shared, np.zeros(FEATURES), np.ones(FEATURES), np.eye(FEATURES + 1)[1], window)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))  # both classes count alike
-    return Scorer(model, mean, scale, _logistic((x - mean) / scale, y, weight), window)
+    return Scorer(shared, mean, scale, _logistic((x - mean) / scale, y, weight), window)
 
 
 def held_out(id_column: Column) -> Column:
@@ -327,18 +423,11 @@ def held_out(id_column: Column) -> Column:
 def score_column(documents: DataFrame, scorer: Scorer | None, text: Column) -> Column:
     if scorer is None:
         return F.lit(0.0)
-    sent = _sent(documents.sparkSession, scorer)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = sent()
         for texts in batches:
-            out = []
-            for at in range(0, len(texts), 256):
-                part = texts.iloc[at : at + 256].tolist()
-                prepare(one.model, part)
-                out += [one.score(x) for x in part]
-            yield pd.Series(out, dtype=float)
+            yield pd.Series(np.concatenate([np.zeros(0), *(scorer.scores(texts.iloc[at : at + 512].tolist()) for at in range(0, len(texts), 512))]))
 
     return scored(text.cast("string"))
 

@@ -238,14 +238,6 @@ def test_similar_documents(spark):
 # ---- toxicity
 
 
-def test_kneser_ney_sums_to_one():
-    model = toxicity.KneserNey(({"abc": 5.0, "abd": 2.0}, {"abc": 1.0, "xyz": 4.0}), order=4)
-    letters = "abcdxyz$"
-    for context in ("^", "^a", "^ab", "ab", "b"):
-        assert abs(sum(model._shared(context + c) for c in letters) - 1) < 1e-9
-    assert model.word("xyz") > 0 > model.word("abd")
-
-
 def test_toxicity(spark):
     rng = random.Random(9)
     plain = ["".join(rng.choice(["ka", "lo", "mi", "tu", "re"]) for _ in range(3)) for _ in range(300)]
@@ -278,7 +270,7 @@ def test_pipeline_against_brute_force(spark, small):
     pipeline = pytest.importorskip("corpus_pipeline")
     raw = spark.read.parquet(f"{small}/documents.parquet")
     scorer = toxicity.fit(raw, spark.read.parquet(f"{small}/labels.parquet"))
-    texts = {r["doc_id"]: r["text"] for r in raw.collect() if scorer.score(r["text"]) < 0.7}
+    texts = {r["doc_id"]: r["text"] for r in raw.collect() if scorer.scores([r["text"]])[0] < 0.7}
     judged = {r["doc_id"]: r["kept"] for r in quality.judge(raw).collect()}
     texts = {i: t for i, t in texts.items() if judged[i]}
     want = set(alike(texts).values())
