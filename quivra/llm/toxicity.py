@@ -34,6 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quivra.llm import hashing
 from quivra.llm.common import quoted
 
 FEATURES = 7
@@ -48,18 +49,6 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-_MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-_BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
-
-
-@functools.cache
-def _mixed() -> np.ndarray:
-    """A number for each code point."""
-    x = (np.arange(0x110000, dtype=np.uint64) + np.uint64(1)) * _MIX
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
 @functools.cache
 def _letters() -> np.ndarray:
     """Whether a code point belongs to words."""
@@ -70,20 +59,6 @@ def _letters() -> np.ndarray:
     return out
 
 
-_powers: list[np.ndarray] = [np.zeros(0, np.uint64)] * 2
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_STEP and its inverse to the powers 0 .. n - 1."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, x in enumerate((_STEP, _BACK)):
-            row = np.full(size, x, np.uint64)
-            row[0] = 1
-            _powers[k] = np.cumprod(row)
-    return _powers[0][:n], _powers[1][:n]
-
-
 class Lines:
     """Words as `^word$`, one after the other: codes, length of each line, place within the line."""
 
@@ -91,15 +66,12 @@ class Lines:
         self.codes, self.length = codes, length
         self.at = np.cumsum(length) - length
         self.inside = np.arange(len(codes)) - np.repeat(self.at, length)
-        forth, back = _power(len(codes))
-        self.forth = forth
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(_mixed()[codes] * back, out=self.sums[1:])
+        self.sums, self.forth = hashing.prefix_sums(codes)
 
     @classmethod
     def of_text(cls, text: str) -> tuple[Lines, np.ndarray]:
         """Of a lower-case text, with the place where each word starts."""
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = hashing.code_points(text)
         is_letter = _letters()[codes]
         turn = np.flatnonzero(np.diff(is_letter.view(np.int8), prepend=0, append=0))
         starts, size = turn[::2], turn[1::2] - turn[::2]
@@ -112,7 +84,7 @@ class Lines:
 
     @classmethod
     def of_words(cls, words: list[str]) -> Lines:
-        codes = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = hashing.code_points("".join(f"^{w}$" for w in words))
         return cls(codes, np.array([len(w) + 2 for w in words], np.int64))
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +191,7 @@ def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: i
     """The model of words that occur counts[0] times in ordinary and counts[1] times in toxic documents.
 
     Each gram is held as its characters' numbers, right-aligned, so shorter grams and contexts follow from the longest ones."""
-    mixed, step = _mixed(), [np.uint64(pow(int(_STEP), k, 1 << 64)) for k in range(order)]
+    step = [np.uint64(pow(int(hashing.STEP), k, 1 << 64)) for k in range(order)]
     keys, letters = [np.zeros(0, np.uint64)], np.zeros(0x110000, bool)
     slices = [slice(at, at + chunk) for at in range(0, len(words), chunk)]
     for part in slices:
@@ -245,8 +217,8 @@ def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: i
             at = rows[first] - j
             chars[j, place] = np.where(size[first] > j, number_of[lines.codes[np.maximum(at, 0)]], 0)
     size = (chars > 0).sum(axis=0)
-    mix = np.concatenate(([np.uint64(0)], mixed[points[1:]]))
-    without_last = lambda keys, rows: (keys - mix[chars[0, rows]]) * _BACK
+    mix = np.concatenate(([np.uint64(0)], hashing.points()[points[1:]]))
+    without_last = lambda keys, rows: (keys - mix[chars[0, rows]]) * hashing.BACK
 
     # level k: the different grams of k characters, each with the place in `key` of a gram that ends with it
     every = np.arange(len(key))

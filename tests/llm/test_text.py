@@ -221,34 +221,68 @@ def test_minimum_cut_is_minimal():
 
 
 @pytest.fixture(scope="module")
-def lattice():
-    return sentencepiece_sampling.Lattice(tokenizer_path("piece_bpe_32k.model"), 0.5)
-
-
-def every_path(lat, starts):
-    def from_(v):
-        return [((), 1.0)] if v < 0 else [((e, *r), lat.prob[e] * p) for e in range(lat.first[v], lat.first[v + 1]) for r, p in from_(lat.end[e])]
-
-    return {sum((c[0] for c in combo), ()): math.prod(c[1] for c in combo) for combo in itertools.product(*[from_(v) for v in starts])}
-
-
-def test_samples_follow_the_exact_distribution(lattice):
-    starts = lattice.starts(sentencepiece_sampling.chunks_of("hello a"))
-    lattice.settle()
-    exact = every_path(lattice, starts)
-    assert abs(sum(exact.values()) - 1) < 1e-9
-    first, weight, n = Counter(), Counter(), 4000
-    for seed in range(n):
-        got = sentencepiece_sampling.sample(lattice, starts, 2, np.random.default_rng(seed))
-        assert len({tuple(x[0]) for x in got}) == 2 and got[0][2] > got[1][2]
-        first[tuple(got[0][0])] += 1
-        for edges, p, _, inclusion in got:
-            assert abs(math.exp(p) - exact[tuple(edges)]) < 1e-9
-            weight[tuple(edges)] += 1 / inclusion
-    for path in sorted(exact, key=exact.get)[-3:]:
+def pieces():
+    return sentencepiece_sampling.Pieces(tokenizer_path("piece_bpe_32k.model"), 0.5)
+
+
+def every_path(text, theta=0.5):
+    """ids of each segmentation -> probability, straight from the model file."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    n = sp.get_piece_size()
+    known = {sp.id_to_piece(i): (i, (10 - sp.get_score(i)) ** -theta) for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
+    line = "▁" + text.replace(" ", "▁") if text else ""
+
+    def paths(at):
+        if at == len(line):
+            return [((), 1.0)]
+        steps = [((known[line[at:e]][0],), known[line[at:e]][1], e) for e in range(at + 1, len(line) + 1) if line[at:e] in known]
+        if not any(e == at + 1 for _, _, e in steps):
+            raw = line[at].encode()
+            steps.append((tuple(sp.piece_to_id(f"<0x{b:02X}>") for b in raw), (10 + n) ** (-theta * len(raw)), at + 1))
+        return [((*ids, *rest), w * p) for ids, w, e in steps for rest, p in paths(e)]
+
+    found = dict(paths(0))
+    total = sum(found.values())
+    return {k: v / total for k, v in found.items()}
+
+
+def drawn(pieces, texts, keys, k, seed=0):
+    out = {}
+    for batch in sentencepiece_sampling.segmentations(pieces, keys, texts, k, seed):
+        for r in batch.to_pylist():
+            out.setdefault(r["doc_id"], []).append((tuple(r["ids"]), r["log_prob"], r["perturbed"], r["inclusion"]))
+    return out
+
+
+@pytest.mark.parametrize("text", ["hello a", "aa  a", "🧿h", "▁▁x ", "é\n1"])
+def test_samples_follow_the_exact_distribution(pieces, text):
+    exact, n = every_path(text), 4000
+    first, weight = Counter(), Counter()
+    for key, got in drawn(pieces, [text, "between"] * n, list(range(2 * n)), 2).items():
+        if key % 2 == 0:
+            assert len({x[0] for x in got}) == min(2, len(exact)) and got == sorted(got, key=lambda x: -x[2])
+            first[got[0][0]] += 1
+            for ids, p, _, inclusion in got:
+                assert abs(math.exp(p) - exact[ids]) < 1e-9
+                weight[ids] += 1 / inclusion
+    for path in [x for x in exact if exact[x] > 0.02]:
         assert abs(first[path] / n - exact[path]) < 0.03 and abs(weight[path] / n - 1) < 0.15
-    whole = sentencepiece_sampling.sample(lattice, starts, 10_000, np.random.default_rng(0))
-    assert len(whole) == len(exact) and all(x[3] == 1.0 for x in whole)
+    if len(exact) < 5000:
+        whole = drawn(pieces, [text], [0], len(exact) + 5)[0]
+        assert {x[0] for x in whole} == set(exact) and len(whole) == len(exact) and all(x[3] == 1.0 for x in whole)
+
+
+def test_samples_do_not_depend_on_the_batch(pieces, monkeypatch):
+    texts = [x or "" for x in ODD] + ["hello there " * 30, "x" * 400, "x" * 70_000, "", "a b"]
+    keys = list(range(len(texts)))
+    whole = drawn(pieces, texts, keys, 3)
+    assert whole == drawn(pieces, texts[::-1], keys[::-1], 3)
+    assert all(drawn(pieces, [t], [i], 3)[i] == whole[i] for i, t in enumerate(texts))
+    monkeypatch.setattr(sentencepiece_sampling, "AT_ONCE", 100)
+    assert whole == drawn(pieces, texts, keys, 3)
+    assert whole != drawn(pieces, texts, keys, 3, seed=1)
 
 
 def test_segmentations_decode_to_their_text(spark):
