@@ -20,6 +20,11 @@ def held(key: tuple, make):
     return _held[key]
 
 
+def free_held() -> None:
+    """Frees what earlier stages left in a reused worker."""
+    _held.clear()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 

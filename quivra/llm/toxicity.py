@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quivra.llm import hashing
-from quivra.llm.common import quoted
+from quivra.llm.common import free_held, quoted
 
 FEATURES = 7
 #: Characters that are hashed at once.
@@ -307,6 +307,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: tuple[Counter, Counter] = (Counter(), Counter())
+    free_held()
 
     def rows():
         for c in (0, 1):
@@ -398,6 +399,7 @@ def score_column(documents: DataFrame, scorer: Scorer | None, text: Column) -> C
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        free_held()
         for texts in batches:
             yield pd.Series(np.concatenate([np.zeros(0), *(scorer.scores(texts.iloc[at : at + 512].tolist()) for at in range(0, len(texts), 512))]))
 
