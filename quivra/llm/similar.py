@@ -206,9 +206,9 @@ def similar_nodes(marked: DataFrame, similarity: float, width: int, radius: int,
     nodes = written(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.first("parts").alias("parts"), F.first("n").alias("n")), "nodes")
     busy, heads = buckets(nodes, radius, cap)
     units = candidates(busy, heads, similarity, unit)
-    # every node that may be compared, by what it has: one text a node goes through the shuffle for each task that has it
+    # one text a node and task goes through the shuffle, however many copies there are; the joins are the same ones at every size
     asked = busy.select("node").distinct()
-    texts = marked.select("node", text.alias("text")).join(asked, "node", "left_semi").dropDuplicates(["node"])
+    texts = marked.select("node", text.alias("text")).dropDuplicates(["node"]).join(asked.hint("merge"), "node", "left_semi")
     sets = written(texts.select("node", shingles_udf(width)("text").alias("hashes")), "shingles")
     found = units.join(sets, "node").groupBy("head", "blocks", "block").applyInArrow(_beside_head(similarity), "u long, v long")
     found = written(found, "found")
@@ -232,5 +232,5 @@ def keep_one(df: DataFrame, similarity: float = 0.8, width: int = 5, radius: int
     owner = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "rid"))
     each = marked.groupBy("node").agg(owner.alias("x"))
     chosen = each.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("x").alias("x")).select(F.col("x.rid").alias("rid"))
-    kept = marked.select("row", "rid").join(chosen, "rid", "left_semi")
+    kept = marked.select("row", "rid").join(chosen.hint("merge"), "rid", "left_semi")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -187,7 +187,7 @@ def _merged(parts: list[np.ndarray]) -> list[np.ndarray]:
     return [np.unique(np.concatenate(parts))] if sum(map(len, parts[1:])) >= len(parts[0]) else parts
 
 
-def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: int = 8, discount: float = 0.75, chunk: int = 50_000) -> Model:
+def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: int = 8, discount: float = 0.75, chunk: int = 20_000) -> Model:
     """The model of words that occur counts[0] times in ordinary and counts[1] times in toxic documents.
 
     Each gram is held as its characters' numbers, right-aligned, so shorter grams and contexts follow from the longest ones."""
@@ -216,21 +216,23 @@ def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: i
         for j in range(order):
             at = rows[first] - j
             chars[j, place] = np.where(size[first] > j, number_of[lines.codes[np.maximum(at, 0)]], 0)
-    size = (chars > 0).sum(axis=0)
+    size = (chars > 0).sum(axis=0, dtype=np.uint8)
     mix = np.concatenate(([np.uint64(0)], hashing.points()[points[1:]]))
     without_last = lambda keys, rows: (keys - mix[chars[0, rows]]) * hashing.BACK
 
     # level k: the different grams of k characters, each with the place in `key` of a gram that ends with it
-    every = np.arange(len(key))
+    every = np.arange(len(key), dtype=np.int32)
     at, at_key, level, inverse = every[size == order], key[size == order], {}, {}
     for k in range(order - 1, 0, -1):
         # continuations: how many different characters stand before a gram; at the start of a word its own count
-        shorter, first, inverse[k + 1], number = np.unique(at_key - mix[chars[k, at]] * step[k], return_index=True, return_inverse=True, return_counts=True)
+        shorter, first, back, number = np.unique(at_key - mix[chars[k, at]] * step[k], return_index=True, return_inverse=True, return_counts=True)
+        inverse[k + 1] = back.astype(np.int32)
         begin = every[size == k] if k > 1 else every[:0]
         at, at_key = np.concatenate((at[first], begin)), np.concatenate((shorter, key[begin]))
         number = np.concatenate((number, (n[0] + n[1])[begin]))
         group = np.unique(without_last(at_key, at), return_inverse=True)[1]
-        level[k] = number.astype(np.float64), group.astype(np.int32), len(begin)
+        level[k] = number.astype(np.int64), group.astype(np.int32), len(begin)
+    del at, at_key, back, shorter, first, group
     p, low = np.full(1, 1.0 / max(2, len(points) - 2)), np.zeros(len(key))
     for k in range(1, order):
         number, group, begins = level.pop(k)
@@ -247,7 +249,7 @@ def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: i
         total, kinds = np.bincount(group, n[c], len(contexts)), np.bincount(group, n[c] > 0, len(contexts))
         backoff = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
         default += sign * np.log(backoff)
-        ratio += sign * np.log(np.maximum(n[c] - discount, 0.0) / np.maximum(total, 1)[group] + backoff[group] * low)
+        ratio += sign * np.log(np.maximum(n[c].astype(float) - discount, 0.0) / np.maximum(total, 1)[group] + backoff[group] * low)
     return Model(Table(key, ratio), Table(contexts, default), order)
 
 
