@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,16 +78,20 @@ def samples(hashes: np.ndarray, parts: int, least: int) -> np.ndarray:
 def marks_udf(width: int, parts: int, least: int):
     """node, fp, parts and number of shingles of a text."""
 
-    @F.pandas_udf("node long, fp long, parts array<long>, n long")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("node long, fp long, parts array<long>, n long")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         free_held()
         for texts in batches:
-            out = []
+            nodes, prints, found, size = [], [], [np.zeros(0, np.int64)], []
             for text in texts:
-                node, found = hashed(words_of(text), width)
-                one = np.unique(found)
-                out.append((node - (1 << 64) if node >> 63 else node, votes(found), samples(one, parts, least), len(one)))
-            yield pd.DataFrame(out, columns=["node", "fp", "parts", "n"])
+                node, every = hashed(words_of(text.as_py()), width)
+                one = np.unique(every)
+                nodes.append(node - (1 << 64) if node >> 63 else node)
+                prints.append(votes(every))
+                found.append(samples(one, parts, least))
+                size.append(len(one))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * parts), pa.array(np.concatenate(found)))
+            yield pa.StructArray.from_arrays([pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), lists, pa.array(size, pa.int64())], names=["node", "fp", "parts", "n"])
 
     return of
 
@@ -194,9 +197,10 @@ def compared(rest: DataFrame, sets: DataFrame, similarity: float, unit: int) ->
 
 
 def shingles_udf(width: int):
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(words_of(x), width).view(np.int64) for x in texts])
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        found = [shingles(words_of(x.as_py()), width).view(np.int64) for x in texts]
+        return pa.array(found, pa.list_(pa.int64()))
 
     return of
 

@@ -28,7 +28,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -399,11 +398,11 @@ def score_column(documents: DataFrame, scorer: Scorer | None, text: Column) -> C
     if scorer is None:
         return F.lit(0.0)
 
-    @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         free_held()
         for texts in batches:
-            yield pd.Series(np.concatenate([np.zeros(0), *(scorer.scores(texts.iloc[at : at + 512].tolist()) for at in range(0, len(texts), 512))]))
+            yield pa.array(np.concatenate([np.zeros(0), *(scorer.scores(texts.slice(at, 512).to_pylist()) for at in range(0, len(texts), 512))]))
 
     return scored(text.cast("string"))
 
