@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in sequences of at most 1024 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 2, 1024, max_chunks=700_000)
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), 2, 1024, max_chunks=400_000)
 
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", apply_rules), ("SimHash near-dedup", drop_near_copies), ("best-fit packing", pack_sequences)]
