@@ -5,6 +5,7 @@ import html as entities
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -206,6 +207,52 @@ def test_pages(spark, small):
         assert html_text.main_text(r["html"]) == " ".join(p for p in parts if p)
 
 
+ARTICLE = "<article><h1>The news</h1><p>First sentence of it, with more words.</p><p>Second sentence of it, and then some.</p></article>"
+WANT = "The news First sentence of it, with more words. Second sentence of it, and then some."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="single has-sidebar no-comments">{ARTICLE}</body>',
+        f'<div class="social-science research">{ARTICLE}</div>',
+        f"<body><svg/>{ARTICLE}</body>",
+        f"<body><svg><path d='x'>{ARTICLE}</body>",
+        f"<head><title>x</title>{ARTICLE}",
+        f"<html><head><meta charset=x>{ARTICLE}<footer>All rights</footer>",
+        f"<div><select><option>a<option>b</div>{ARTICLE}",
+        ARTICLE.replace("<h1>The news</h1>", '<div class="entry-header"><h1>The news</h1></div>'),
+        ARTICLE.replace("<h1>", "<header><h1>").replace("</h1>", "</h1></header>"),
+        f'<div id="siteHeader">Name of it all, with words.</div><div class="cookie-notice">We use cookies here. Accept them.</div>{ARTICLE}<div class="related-stories"><p>Another story that you may like.</p></div>',
+        f'{ARTICLE}<ol class="comment-list"><li><article class="comment"><p>I like this very much, well done.</p></article></li></ol><div role="contentinfo">Imprint and more of it.</div>',
+        f'<p hidden>This is not to be seen by anyone.</p>{ARTICLE}<div style="display: none">Nor is this one to be seen.</div>',
+        f"<script>if (a<b) x('<p>');</script><noscript>Please turn it on.</noscript>{ARTICLE}<script>open",
+        f"<!-- <p>x -->{ARTICLE}<!-- open",
+    ],
+)
+def test_articles_in_odd_pages(page):
+    assert html_text.main_text(page) == WANT
+
+
+def test_plain_texts_and_damage():
+    assert html_text.main_text("hello") == "hello" and html_text.main_text("<p>1 < 2 &amp; 3") == "1 < 2 & 3"
+    assert html_text.main_text('<ul><li><a href="/">Home</a><li><a href="/x">About us</a></ul>') == ""
+    assert [b.text for b in html_text.blocks("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><dl><dt>e<dd>f<dt>g</dl><table><tr><td>h<td>i<tr><td>j</table><p>k<p>l<b>m<br>n</b>o").blocks] == [*"abcdefghijk", "lm no"]
+    assert [b.linked for b in html_text.blocks("<p><a href=x>ab<p>cd</a>ef<p>gh").blocks] == [2, 0, 0]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a ", "<div>x y", '<a ">"', "<b>x</i>", "<li><ul><div>", "<div></p>", "<p>a b", "<svg>", "<!--", "<script>", "&amp", "<td>x", "<ul><li>x</ul>", "<div><p>Some words of it.</p><p>menu</p>"])
+def test_hostile_pages_take_time_in_proportion(unit):
+    def seconds(size):
+        page = unit * (size // len(unit))
+        began = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - began
+
+    seconds(10_000)
+    assert seconds(1_000_000) < 8
+
+
 def test_minimum_cut_is_minimal():
     for seed in range(150):
         rng = random.Random(seed)
