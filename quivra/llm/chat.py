@@ -4,9 +4,10 @@ A turn is `<s>role\\ntext</s>`. Inside texts each control string gets a backslas
 more, if it has some), so none is left and the escape can be undone; roles are URL-encoded.
 
 Prefix sums of the turns' tokens choose spans of whole turns: a span goes on while its tokens fit what the
-system turn and the history leave of the budget. Each later window repeats the system turn and then as
-many of the turns before it as fit `history` tokens; repeated turns are context, and only assistant texts of
-the span itself are under the loss mask: each once. A turn longer than that is a span of its own (in the first window, beside the system turn).
+system turn and the history that is really repeated leave of the budget. Each later window repeats the system turn and then as
+many of the turns before it as fit `history` tokens and leave room for the span's first turn; repeated turns are context, and only assistant texts of
+the span itself are under the loss mask: each once. Only a turn that doesn't fit beside the system turn makes a window over the budget: it stands there without history
+(in the first window, the system turn and the turn behind it stand together).
 
 Turns are gathered in blocks of `block` turns, so a conversation with a third of all rows is no single task; a
 later block starts with the system turn and with the turns before it that fit `history`, handed on as a small tail a block. Spans still
@@ -79,13 +80,15 @@ def _spans(blocks: DataFrame, budget: int, history: int) -> DataFrame:
     own = "(system is null and size(tail) = 0 and a[0].role = 'system')"
     step = blocks.withColumns({"k": F.expr(f"if({own}, 1, size(tail))"), "sys": F.expr(f"if({own}, a[0], system)"), "a": F.expr("concat(tail, a)")})
     step = step.withColumn("p", F.expr("aggregate(a, array(0L), (s, x) -> concat(s, array(element_at(s, -1) + x.n)))"))
-    step = step.withColumn("cap", F.greatest(F.lit(budget - history) - F.coalesce("sys.n", F.lit(0)), F.lit(1)))
-    # the first turn of each span: greedy over differences of prefix sums
-    starts = """if(size(a) <= k, array(0), aggregate(sequence(k, size(a) - 1), named_struct('at', array(k), 'cur', k),
-        (s, i) -> if(i > s.cur and p[i + 1] - p[s.cur] > cap, named_struct('at', concat(s.at, array(i)), 'cur', i), s), s -> s.at))"""
+    step = step.withColumn("room", F.lit(budget) - F.coalesce("sys.n", F.lit(0)))
+    # the first turn repeated before turn s: what fits the history and leaves room for s
+    back = lambda s: f"filter(sequence(if(size(tail) > 0, 0, k), {s}), j -> p[{s}] - p[j] <= greatest(0L, least({history}L, room - (p[{s} + 1] - p[{s}]))))[0]"
+    first = f"if(size(tail) = 0, k, {back('k')})"
+    # (first turn, first turn repeated) of each span: greedy over differences of prefix sums, which hold the repeated turns too
+    starts = f"""if(size(a) <= k, array(named_struct('s', 0, 'h', 0)), aggregate(sequence(k, size(a) - 1), named_struct('at', array(named_struct('s', k, 'h', {first})), 'cur', k, 'h', {first}),
+        (s, i) -> if(i > s.cur and p[i + 1] - p[s.h] > room, named_struct('at', concat(s.at, array(named_struct('s', i, 'h', {back('i')}))), 'cur', i, 'h', {back('i')}), s), s -> s.at))"""
     step = step.withColumn("starts", F.expr(starts))
-    spans = f"""transform(starts, (s, w) -> named_struct('w', w, 's', if(w = 0 and size(tail) = 0, 0, s), 'e', coalesce(get(starts, w + 1), size(a)),
-        'h', if(w = 0 and size(tail) = 0, s, filter(sequence(if(size(tail) > 0, 0, k), s), j -> p[s] - p[j] <= {history})[0])))"""
+    spans = """transform(starts, (x, w) -> named_struct('w', w, 's', if(w = 0 and size(tail) = 0, 0, x.s), 'e', coalesce(get(starts, w + 1).s, size(a)), 'h', x.h))"""
     step = step.withColumn("spans", F.expr(spans))
     context = "concat(if(sys is not null and (x.w > 0 or system is not null), array(sys), slice(a, 1, 0)), if(x.w = 0 and size(tail) = 0, slice(a, 1, 0), slice(a, x.h + 1, x.s - x.h)))"
     parts = step.select("conv_id", "block", F.explode(F.expr(f"transform(spans, x -> named_struct('window', x.w, 'context', {context}, 'own', slice(a, x.s + 1, x.e - x.s)))")).alias("x"))
