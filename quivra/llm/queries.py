@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from quivra.llm.common import table
 
-#: The byte limit of a shard.
-SHARD_BYTES = 16 << 20
+#: The byte limit of a shard: small, so that the smallest tables split too.
+SHARD_BYTES = 256 << 10
 
 
 def tokenizer_path(name: str) -> str:

@@ -6,10 +6,12 @@ without touching texts again. Where the histogram's bits end before a bucket fit
 counted again with more bits; after the bits of the id's hash come those of the row's text.
 Rows equal in id and text can't be told apart by any hash: they are counted, and laid out in order as pages
 of the bucket, so a single key with a third of all rows meets the limit too. Only a single document over
-the limit has an oversized shard, of its own.
+the limit has an oversized shard, of its own. The directory has a leaf for each bucket, by its prefix and depth; a slot of the full directory
+(all prefixes of the greatest depth) is the leaf that its bits begin with, which locate() finds without spelling all slots out.
 
 Nulls: a null id is hashed as such, a null text has no bytes. Repeated rows keep their number; an empty table
-has no shards."""
+has no shards. Ties don't arise: a row's bits alone decide. A very long text is one row of its size; it is hashed, not held. Clashing names:
+only id and text are read; write_shards() keeps df's columns beside its own, which begin with two underscores."""
 
 from __future__ import annotations
 
@@ -71,6 +73,19 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     return out.select("doc_id", "n_bytes", F.col("bits").alias("shard"), F.length("bits").alias("depth"), "page", (F.col("held") * F.col("n_bytes")).alias("shard_bytes"))
 
 
+def locate(ids: DataFrame, shards: DataFrame, id_col: str = "doc_id", text_col: str | None = None) -> DataFrame:
+    """(doc_id, shard) of ids, by the directory: the leading bits of an id's hash, at each depth that the directory has, name one leaf.
+
+    A bucket that only the text's bits divide (equal ids) is found with text_col; without it such an id has no shard of its own."""
+    depths = sorted(r[0] for r in shards.select("depth").distinct().collect()) or [0]  # at most 121 of them
+    bits = _bits(F.coalesce(quoted(id_col).cast("string"), F.lit("null")))
+    if text_col:
+        bits = F.concat(bits, _bits(F.coalesce(quoted(text_col).cast("string"), F.lit(""))))
+    rows = ids.select(quoted(id_col).alias("doc_id"), bits.alias("bits")).distinct()
+    slots = rows.select("doc_id", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.substring("bits", 1, d).alias("shard")) for d in depths])).alias("x")).select("doc_id", "x.*")
+    return slots.join(shards.select("shard", "depth").distinct(), ["shard", "depth"]).select("doc_id", "shard").distinct()
+
+
 def directory(assigned: DataFrame) -> DataFrame:
     """(shard, page, depth, rows, bytes), one row a shard."""
     return assigned.groupBy("shard", "page", "depth").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
