@@ -59,7 +59,8 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_c
     tie = F.xxhash64("text")
     dealt = src.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     coded = dealt.mapInArrow(_encode(tokenizer, end_id, batch_tokens), "doc_id long, file_start long, ids array<int>")
-    (coded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(row_index_stride)).option("orc.stripe.size", str(stripe_bytes)).option("orc.compress", "ZSTD").orc(path))
+    # one file a task: file_start counts on within it, whatever the session says of records a file
+    (coded.write.option("maxRecordsPerFile", 0).option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(row_index_stride)).option("orc.stripe.size", str(stripe_bytes)).option("orc.compress", "ZSTD").orc(path))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
