@@ -28,9 +28,11 @@ def free_held() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Where the cluster names none (a single machine, as in the tests) one is made."""
+    Where none is named, a local master (as in the tests) gets one; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quivra-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

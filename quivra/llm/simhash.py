@@ -14,7 +14,8 @@ is hashed again, by the same construction over the positions its table left out
 after three levels at most 8 are left, so a bucket has at most 2^8 different fingerprints. No pair is dropped.
 
 Nulls: a null text is an empty one. Rows with a null doc_id take part and have the smallest doc_id of their
-component, null if it has none. Repeated rows are returned as often as they occur; an empty table gives none."""
+component, null if it has none. Repeated rows are returned as often as they occur; an empty table gives none. A very long text
+is hashed in its task in parts, some 30 bytes a character. Clashing names: near_duplicates() reads only id and text, keep_one() keeps df's columns in one struct."""
 
 from __future__ import annotations
 
@@ -209,23 +210,29 @@ def near_duplicates(df: DataFrame, radius: int = 4, width: int = 4, cap: int = 1
 
 
 def _components_of(docs: DataFrame, radius: int, cap: int) -> DataFrame:
+    return docs.join(_labels(docs, radius, cap), "fp").select("doc_id", "fp", "component_id")
+
+
+def _labels(docs: DataFrame, radius: int, cap: int) -> DataFrame:
+    """(fp, root, component_id) of each fingerprint."""
     nodes = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), radius, cap))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = written(joined.join(best, "root").select("fp", "component_id"), "labels")
-    return docs.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return written(joined.join(best, "root").select("fp", "root", "component_id"), "labels")
 
 
 def keep_one(df: DataFrame, radius: int = 4, width: int = 4, cap: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with one document of each component: that of the smallest doc_id, of its rows one.
 
     Columns are unchanged. Components of rows that all have a null doc_id keep one of them."""
-    names = df.columns
-    marked = df.withColumn("__fp", fingerprint_udf(width)(quoted(text_col).cast("string"))).withColumn("__id", quoted(id_col).cast("long"))
-    docs = written(fingerprints(df, width, id_col, text_col), "fingerprints")
-    found = _components_of(docs, radius, cap)
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("x")).select(F.col("x.doc_id").alias("__cid"), F.col("x.fp").alias("__cfp"))
-    # null doc_ids: several components may be without one, told apart by their fingerprints
-    kept = marked.join(chosen, marked["__id"].eqNullSafe(chosen["__cid"]) & (marked["__fp"] == chosen["__cfp"]), "left_semi")
-    return kept.dropDuplicates(["__id", "__fp"]).select(*[quoted(x) for x in names])
+    row = F.struct(*[quoted(c) for c in df.columns])
+    text = F.coalesce(quoted(text_col).cast("string"), F.lit(""))
+    # numbers of written rows: what is read again has the same ones; df's own names can't clash inside the struct
+    marked = written(df.select(row.alias("row"), quoted(id_col).cast("long").alias("doc_id"), fingerprint_udf(width)(text).alias("fp"), F.monotonically_increasing_id().alias("rid")), "marked")
+    labels = _labels(marked, radius, cap)
+    each = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "rid")).alias("x"))
+    # null doc_ids: several components may be without one, so they go by their root
+    chosen = each.join(labels, "fp").groupBy("root").agg(F.min("x").alias("x")).select(F.col("x.rid").alias("rid"))
+    kept = marked.select("row", "rid").join(chosen, "rid", "left_semi")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
