@@ -105,6 +105,24 @@ def fractional(count: np.ndarray, capacity: int, rounds: int = 600, step: float
     return used
 
 
+def bound(count: np.ndarray, capacity: int, rounds: int = 30, eta: float = 0.05) -> float:
+    """A lower bound for the sequences of any packing, from the dual program: with prices y of lengths, of which no configuration is worth
+    more than 1, sum(count * y) sequences are needed at least. Prices start as the lengths; those of lengths that the best
+    configuration has are lowered by a factor, the others' raised, and the best bound counts."""
+    lengths = np.flatnonzero(count[: capacity + 1]).astype(np.int64)
+    if not len(lengths):
+        return 0.0
+    price, found = lengths.astype(float), 0.0
+    for start in (lengths.astype(float), np.where(2 * lengths > capacity, 1.0, np.where(2 * lengths == capacity, 0.5, 1e-9))):
+        price = start
+        for _ in range(rounds):
+            worth, last = _knapsack(lengths, price, capacity)
+            found = max(found, float((count[lengths] * price).sum() / worth[capacity]))
+            used = np.bincount(_filled(lengths, last, capacity), minlength=len(lengths))
+            price = price * np.exp(eta * (count[lengths] / count[lengths].sum() - used / max(1, used.sum())))
+    return found
+
+
 def best_fit(count: Counter, capacity: int) -> Counter:
     """Best fit, longest first, for what rounding leaves (bounded by configurations, not by documents)."""
     bins: list[list[int]] = []
