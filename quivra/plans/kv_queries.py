@@ -200,9 +200,13 @@ def topology_placement(spark, d):
     return topology.place(topology.endpoints(spark, [*NODES[::-1], " node-1:7000 "]), PARTITIONS, REPLICAS)
 
 
-@query()
+@query("""WITH e AS (SELECT user_id % 4 AS partition, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS seq, 1 + (event_id % 5) // 4 AS term, event_type AS payload FROM events),
+m AS (SELECT *, max(term) OVER (PARTITION BY partition ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+f AS (SELECT partition, coalesce(min(seq) FILTER (WHERE term < before), 9000000000) AS bad FROM m GROUP BY partition),
+t AS (SELECT e.partition, max(bad) AS bad, max(term) FILTER (WHERE seq < bad) AS top FROM e JOIN f ON e.partition = f.partition GROUP BY e.partition)
+SELECT e.partition, seq, term, payload, CASE WHEN seq < bad THEN 'applied' WHEN term < top THEN 'stale term' ELSE 'gap' END AS status FROM e JOIN t ON e.partition = t.partition""")
 def replication_fencing(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").filter("user_id < 20")
+    e = spark.read.parquet(f"{d}/events.parquet")
     numbered = e.selectExpr("user_id % 4 as partition", "row_number() over (partition by user_id % 4 order by event_id) as seq", "1 + (event_id % 5) div 4 as term", "event_type as payload")
     return feed.fenced(numbered.selectExpr("partition", "cast(seq as long) seq", "cast(term as long) term", "payload"))
 
