@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quivra.functions.vector import distances, squared_l2
+from quivra.functions.vector import distances, matrix, squared_l2
 from quivra.operators.knn import DimensionError
 
 
@@ -108,35 +109,40 @@ def split(members: DataFrame, split_limit: int, rounds: int = 2) -> DataFrame:
     return members.join(large, "posting_id", "left_anti").select("posting_id", "id", "values").unionByName(moved)
 
 
-def lire_reassign(members: DataFrame, centroids: dict[int, np.ndarray], old: np.ndarray, halves: tuple[int, int], scope: int) -> DataFrame:
-    """Moves after a split of a posting with centroid `old` into two: only rows that may now be nearer elsewhere.
+def lire_reassign(members: DataFrame, centroids: dict[int, np.ndarray], old: np.ndarray, parts: tuple[int, ...], scope: int) -> DataFrame:
+    """Moves after a split of a posting with centroid `old` into `parts`: only rows that may now be nearer elsewhere.
 
-    Members of the halves move if the old centroid was no farther than either half and a posting in scope is nearer; members
-    of the other postings in scope move to the nearer half if a half is no farther than the old centroid and nearer than their own."""
+    Members of the parts move if the old centroid was no farther than any part and a posting in scope is nearer; members
+    of the other postings in scope move to the nearest part if a part is no farther than the old centroid and nearer than their own.
+    Ties go to the part given first and to the lowest posting id. Rows outside parts and scope are not sent to Python."""
     ids = np.array(list(centroids), np.int64)
     points = np.array(list(centroids.values()))
-    around = [int(x) for x in ids[np.lexsort((ids, distances(points, old)))] if int(x) not in halves][:scope]
-    near = {p: centroids[p] for p in around}
-    a, b = (centroids[h] for h in halves)
+    around = [int(x) for x in ids[np.lexsort((ids, distances(points, old)))] if int(x) not in parts][:scope]
+    beside = np.array(sorted(around), np.int64)
+    to = lambda rows, chosen: np.array([distances(rows, centroids[int(p)]) for p in chosen]).reshape(len(chosen), len(rows))
 
-    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            target = batch["posting_id"].to_numpy().copy()
-            for i, (own, value) in enumerate(zip(batch["posting_id"], batch["values"])):
-                v = np.asarray(value, float)
-                d = lambda c, v=v: float(((v - c) ** 2).sum())
-                if own in halves:
-                    if near and d(old) <= d(a) and d(old) <= d(b):
-                        best = min(near, key=lambda p: (d(near[p]), p))
-                        if d(near[best]) < d(centroids[own]):
-                            target[i] = best
-                elif own in near and (d(a) <= d(old) or d(b) <= d(old)):
-                    half = halves[0] if d(a) <= d(b) else halves[1]
-                    if d(centroids[half]) < d(near[own]):
-                        target[i] = half
-            yield batch.assign(posting_id=target)
-
-    return members.select("posting_id", "id", "values").mapInPandas(move, "posting_id long, id long, values array<double>")
+            if not batch.num_rows:
+                continue
+            own, rows = batch.column(0).to_numpy(), matrix(batch.column(2))
+            target, mine = own.copy(), np.empty(len(own))
+            for p in np.unique(own):
+                at = own == p
+                mine[at] = distances(rows[at], centroids[int(p)])
+            was, split_, near = distances(rows, old), to(rows, parts), to(rows, beside)
+            inside = np.isin(own, parts)
+            if len(beside):
+                best = near.argmin(axis=0)
+                leave = inside & (was <= split_.min(axis=0)) & (near.min(axis=0) < mine)
+                target[leave] = beside[best[leave]]
+            join = ~inside & (split_.min(axis=0) <= was) & (split_.min(axis=0) < mine)
+            target[join] = np.array(parts, np.int64)[split_.argmin(axis=0)[join]]
+            yield pa.RecordBatch.from_arrays([pa.array(target), batch.column(1), batch.column(2)], names=["posting_id", "id", "values"])
+
+    rows = members.select("posting_id", "id", "values")
+    reached = F.col("posting_id").isin([*parts, *around])
+    return rows.filter(reached).mapInArrow(move, "posting_id long, id long, values array<double>").unionByName(rows.filter(~reached))
 
 
 def merge_small(members: DataFrame, centroids: dict[int, np.ndarray], merge_limit: int) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Versioned tables without a table format: each generation is a folder of Parquet files, and a small JSON catalog names the current one.
+"""Versioned tables without a table format: folders of Parquet files, and numbered JSON catalogs that name the current ones.
 
-A writer makes the new folder first and then replaces the catalog by one rename, so a reader has a whole generation
-or the one before. Paths go through Hadoop's file system interface, so any store that Spark reads will do."""
+A writer makes its folders first and then commits by giving its catalog the next number, which only one writer can: renaming onto a name that
+exists fails. A crash before that leaves folders that no catalog names; readers take the greatest number and see a whole commit or
+the one before. Paths go through Hadoop's file system interface, so any store that Spark reads will do."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,17 @@ from quivra.operators import mutations as m
 from quivra.operators.knn import DimensionError
 
 
+class ConflictError(RuntimeError):
+    """Another writer has committed since this one read the catalog."""
+
+
 class Files:
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark.sparkContext._jvm
+        self.gateway, self.jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
         self.root = root.rstrip("/")
-        self.fs = self.path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self.path("").getFileSystem(conf)
+        self.context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").makeQualified(self.fs.getUri(), self.fs.getWorkingDirectory()).toUri(), conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -34,16 +42,20 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, name: str, text: str) -> None:
-        """Writes beside and renames over: never half a file."""
-        temporary = f"{name}.{uuid.uuid4().hex}"
+    def create(self, name: str, text: str) -> None:
+        """Writes beside and renames: never half a file, and never over one that is there."""
+        temporary = f"_{name}.{uuid.uuid4().hex}"
         stream = self.fs.create(self.path(temporary), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not self.fs.rename(self.path(temporary), self.path(name)):
-            self.fs.delete(self.path(name), False)
-            if not self.fs.rename(self.path(temporary), self.path(name)):
-                raise OSError(f"can't replace {name}")
+        plain = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            self.context.rename(self.path(temporary), self.path(name), plain)
+        except Py4JJavaError as e:
+            self.fs.delete(self.path(temporary), False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise ConflictError(name) from None
+            raise
 
     def delete(self, name: str) -> bool:
         return self.fs.delete(self.path(name), True)
@@ -52,39 +64,91 @@ class Files:
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(folder))) if self.exists(folder) else []
 
 
+class Catalogs:
+    """catalog-<number>.json files in a folder."""
+
+    def __init__(self, files: Files):
+        self.files = files
+
+    def numbers(self) -> list[int]:
+        return [int(n[8:-5]) for n in self.files.names() if n.startswith("catalog-") and n.endswith(".json")]
+
+    def read(self, number: int) -> dict:
+        return json.loads(self.files.read(f"catalog-{number:012d}.json"))
+
+    def latest(self) -> dict | None:
+        found = self.numbers()
+        return self.read(max(found)) if found else None
+
+    def commit(self, catalog: dict) -> None:
+        """catalog["generation"] must be one more than the one read."""
+        self.files.create(f"catalog-{catalog['generation']:012d}.json", json.dumps(catalog))
+
+    def clean(self, keep: int, parts: str = "parts") -> list[str]:
+        """Deletes all but the newest `keep` catalogs and the folders that none of the rest names; returns what went."""
+        numbers = sorted(self.numbers())
+        gone = [f"catalog-{n:012d}.json" for n in numbers[: max(0, len(numbers) - max(1, keep))]]
+        named = {p for n in numbers[-max(1, keep) :] for p in self.read(n)[parts]}
+        gone += [n for n in self.files.names() if n.startswith("part-") and n not in named]
+        for name in gone:
+            self.files.delete(name)
+        return gone
+
+
 class VectorStore:
-    """Rows (id, values, version, deleted) of a fixed dimension, in generations partitioned by shard = id mod shards."""
+    """Rows (id, values, version, deleted) of a fixed dimension, partitioned by shard = id mod shards.
+
+    A commit of a batch appends its rows as one more part, deletes as markers; a row's newest commit counts. compact() makes one part of all."""
 
-    def __init__(self, spark: SparkSession, root: str, dim: int | None = None, shards: int = 8):
+    SCHEMA = "id long, values array<float>, version int, deleted boolean, commit long, shard long"
+
+    def __init__(self, spark: SparkSession, root: str, dim: int | None = None, shards: int = 8, max_parts: int = 16, files_a_shard: int = 16):
         self.spark, self.files = spark, Files(spark, root)
-        if self.files.exists("catalog.json"):
-            self.catalog = json.loads(self.files.read("catalog.json"))
+        self.catalogs, self.max_parts, self.files_a_shard = Catalogs(self.files), max_parts, files_a_shard
+        self.catalog = self.catalogs.latest()
+        if self.catalog is not None:
             if dim is not None and dim != self.catalog["dim"]:
                 raise DimensionError(f"the store has {self.catalog['dim']} components")
         elif dim is None:
             raise FileNotFoundError(root)
         else:
-            self.catalog = {"dim": dim, "shards": shards, "generation": -1, "applied": [], "upserts": 0, "deletes": 0}
-            self._commit(self.spark.createDataFrame([], "id long, values array<float>, version int, deleted boolean"))
-
-    def _folder(self, generation: int) -> str:
-        return f"generation={generation:012d}"
+            self.catalog = {"dim": dim, "shards": shards, "generation": -1, "parts": [], "applied": {}, "upserts": 0, "deletes": 0}
+            self._commit([])
+
+    def _write(self, rows: DataFrame, commit: int) -> str:
+        """Rows (id, values, version, deleted) as a part; no catalog names it yet."""
+        name = f"part-{uuid.uuid4().hex}"
+        out = rows.withColumns({"commit": F.lit(commit).cast("long"), "shard": F.pmod("id", F.lit(self.catalog["shards"])).cast("long")})
+        spread = out.repartition("shard", F.pmod(F.xxhash64("id"), F.lit(self.files_a_shard)))
+        spread.sortWithinPartitions("shard", "id").write.partitionBy("shard").parquet(f"{self.files.root}/{name}")
+        return name
 
-    def _commit(self, rows: DataFrame, **more) -> None:
-        number = self.catalog["generation"] + 1
-        out = rows.withColumn("shard", F.pmod("id", F.lit(self.catalog["shards"])))
-        out.repartition("shard").sortWithinPartitions("shard", "id").write.mode("overwrite").partitionBy("shard").parquet(f"{self.files.root}/{self._folder(number)}")
-        self.catalog = {**self.catalog, **more, "generation": number}
-        self.files.replace("catalog.json", json.dumps(self.catalog))
+    def _commit(self, parts: list[str], **more) -> None:
+        new = {**self.catalog, **more, "parts": parts, "generation": self.catalog["generation"] + 1}
+        self.catalogs.commit(new)
+        self.catalog = new
+
+    def _rows(self, generation: int | None = None) -> DataFrame:
+        """Every row of every part."""
+        parts = (self.catalog if generation is None else self.catalogs.read(generation))["parts"]
+        if not parts:
+            return self.spark.createDataFrame([], self.SCHEMA)
+        frames = [self.spark.read.schema(self.SCHEMA).parquet(f"{self.files.root}/{p}") for p in parts]
+        out = frames[0]
+        for x in frames[1:]:
+            out = out.unionByName(x)
+        return out
 
     def read(self, generation: int | None = None) -> DataFrame:
-        """Live rows of a generation, the current one unless another is named."""
-        folder = self._folder(self.catalog["generation"] if generation is None else generation)
-        schema = "id long, values array<float>, version int, deleted boolean, shard long"
-        return self.spark.read.schema(schema).parquet(f"{self.files.root}/{folder}").filter(~F.col("deleted"))
+        """Live rows (id, values, version, deleted, shard) of a generation, the current one unless another is named."""
+        rows = self._rows(generation)
+        if len((self.catalog if generation is None else self.catalogs.read(generation))["parts"]) > 1:
+            newest = rows.groupBy("id", "shard").agg(F.max_by(F.struct("values", "version", "deleted"), "commit").alias("r"))
+            rows = newest.select("id", "r.values", "r.version", "r.deleted", "shard")
+        return rows.select("id", "values", "version", "deleted", "shard").filter(~F.col("deleted"))
 
     def row(self, key: int) -> DataFrame:
-        """One row, from its shard's folder alone."""
+        """One row, from its shard's folders alone."""
         return self.read().filter((F.col("shard") == key % self.catalog["shards"]) & (F.col("id") == key))
 
     def bulk_load(self, rows: DataFrame) -> None:
@@ -95,7 +159,7 @@ class VectorStore:
             if name not in full.columns:
                 full = full.withColumn(name, value)
         last = full.groupBy("id").agg(F.max_by(F.struct("values", "version", "deleted"), "version").alias("r")).select(F.col("id").cast("long"), F.col("r.values").cast("array<float>").alias("values"), F.col("r.version").cast("int").alias("version"), "r.deleted")
-        self._commit(last)
+        self._commit([self._write(last, self.catalog["generation"] + 1)])
 
     def _check(self, rows: DataFrame) -> None:
         if not rows.filter((F.size("values") != self.catalog["dim"]) | F.col("values").isNull()).isEmpty():
@@ -103,135 +167,43 @@ class VectorStore:
         if not rows.filter(F.col("id").isNull() | (F.col("id") < 0)).isEmpty():
             raise ValueError("ids are numbers from 0")
 
-    def apply(self, mutations: DataFrame, batch: str | None = None) -> dict[str, int]:
-        """One atomic commit of a batch (pos, kind, id, values); a batch name that was applied before changes nothing."""
-        if batch is not None and batch in self.catalog["applied"]:
+    def apply(self, mutations: DataFrame, batch: str | tuple[str, int] | None = None) -> dict[str, int]:
+        """One atomic commit of a batch (pos, kind, id, values), by its rows alone.
+
+        batch: (writer, number); a number not above the writer's greatest changes nothing. A bare name is a writer's only batch."""
+        writer, number = (batch, 0) if isinstance(batch, str) else batch or ("", 0)
+        if batch is not None and self.catalog["applied"].get(writer, -1) >= number:
             return {"upserts": 0, "deletes": 0}
         m.validate(mutations, self.catalog["dim"])
-        base = self.read().drop("shard")
-        n = m.counts(base, mutations).first().asDict()
-        merged = m.merge(base, mutations.withColumn("values", F.col("values").cast("array<float>")))
-        kept = merged.withColumns({"version": F.lit(0), "deleted": F.lit(False)})
-        applied = [*self.catalog["applied"], batch][-1000:] if batch is not None else self.catalog["applied"]
-        self._commit(kept, applied=applied, upserts=self.catalog["upserts"] + n["upserts"], deletes=self.catalog["deletes"] + n["deletes"])
+        last = m.last_per_id(mutations)
+        newest = self._rows().groupBy("id").agg(F.max_by("deleted", "commit").alias("gone")).filter("not gone").select("id")
+        n = m.counts(newest, mutations).first().asDict()
+        rows = last.select(F.col("id").cast("long"), F.when(F.col("kind") == "upsert", F.col("values").cast("array<float>")).alias("values"), F.lit(0).alias("version"), (F.col("kind") == "delete").alias("deleted"))
+        applied = self.catalog["applied"] | ({writer: number} if batch is not None else {})
+        part = self._write(rows, self.catalog["generation"] + 1)
+        self._commit([*self.catalog["parts"], part], applied=applied, upserts=self.catalog["upserts"] + n["upserts"], deletes=self.catalog["deletes"] + n["deletes"])
+        if len(self.catalog["parts"]) > self.max_parts:
+            self.compact()
         return n
 
-    def rebuild(self) -> None:
-        """The same rows in a new generation."""
-        self._commit(self.read().drop("shard"))
+    def compact(self) -> None:
+        """The live rows as one part, in a new generation."""
+        self._commit([self._write(self.read().drop("shard"), self.catalog["generation"] + 1)])
+
+    rebuild = compact
 
     def clean(self, keep: int = 2) -> list[str]:
-        """Deletes all but the newest generations; returns what went."""
-        folders = [n for n in self.files.names() if n.startswith("generation=")]
-        current = self._folder(self.catalog["generation"])
-        gone = [n for n in folders if n != current][: max(0, len(folders) - keep)]
-        for name in gone:
-            self.files.delete(name)
-        return gone
+        """Deletes all but the newest generations, and what no catalog names; returns what went."""
+        return self.catalogs.clean(keep)
+
+    def orphans(self) -> list[str]:
+        """Parts that no catalog names: of commits that a crash or another writer prevented."""
+        named = {p for n in self.catalogs.numbers() for p in self.catalogs.read(n)["parts"]}
+        return [n for n in self.files.names() if n.startswith("part-") and n not in named]
 
     def stats(self) -> DataFrame:
         c = self.catalog
-        return self.spark.createDataFrame([(c["generation"], c["dim"], c["shards"], c["upserts"], c["deletes"])], "generation long, dim int, shards int, upserts long, deletes long")
+        return self.spark.createDataFrame([(c["generation"], c["dim"], c["shards"], c["upserts"], c["deletes"], len(c["parts"]))], "generation long, dim int, shards int, upserts long, deletes long, parts int")
 
     def healthy(self) -> bool:
-        return self.files.exists("catalog.json") and self.files.exists(self._folder(self.catalog["generation"]))
-
-
-class KeyValueStore:
-    """An operation log in Parquet with a catalog of snapshots, branches, archives and the next sequence number."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
-        self.catalog = json.loads(self.files.read("catalog.json")) if self.files.exists("catalog.json") else {"log": [], "last": 0, "snapshots": {}, "heads": {"main": 0}, "current": "main", "archives": {}}
-
-    def _save(self) -> None:
-        self.files.replace("catalog.json", json.dumps(self.catalog))
-
-    def log(self) -> DataFrame:
-        schema = "user_key binary, seqno long, kind string, value binary"
-        if not self.catalog["log"]:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.files.root}/{x}" for x in self.catalog["log"]])
-
-    def _append(self, rows: DataFrame) -> str:
-        name = f"log-{uuid.uuid4().hex}"
-        rows.select("user_key", "seqno", "kind", "value").write.parquet(f"{self.files.root}/{name}")
-        return name
-
-    def write_batch(self, ops: list[tuple[str, bytes, bytes | None]]) -> int:
-        """Atomic: consecutive sequence numbers, visible with the catalog's rename; moves the current branch."""
-        if any(k == "rdel" and not key < (end or b"") for k, key, end in ops):
-            raise ValueError("a range delete needs start < end")
-        first = self.catalog["last"] + 1
-        rows = [(bytearray(key), first + i, kind, None if value is None else bytearray(value)) for i, (kind, key, value) in enumerate(ops)]
-        name = self._append(self.spark.createDataFrame(rows, "user_key binary, seqno long, kind string, value binary"))
-        self.catalog["log"].append(name)
-        self.catalog["last"] = first + len(ops) - 1
-        self.catalog["heads"][self.catalog["current"]] = self.catalog["last"]
-        self._save()
-        return self.catalog["last"]
-
-    def head(self, branch: str | None = None) -> int:
-        return self.catalog["heads"][branch or self.catalog["current"]]
-
-    def snapshot(self) -> str:
-        name = uuid.uuid4().hex
-        self.catalog["snapshots"][name] = self.head()
-        self._save()
-        return name
-
-    def release(self, name: str) -> None:
-        del self.catalog["snapshots"][name]
-        self._save()
-
-    def branch(self, action: str, name: str, at: int | None = None) -> None:
-        """create, checkout or drop a branch."""
-        from quivra.operators.kv import Branches
-
-        b = Branches(0, self.catalog["heads"], self.catalog["current"])
-        {"create": lambda: b.create(name, at), "checkout": lambda: b.checkout(name), "drop": lambda: b.drop(name)}[action]()
-        self.catalog["heads"], self.catalog["current"] = b.heads, b.current
-        self._save()
-
-    def floor(self) -> int:
-        from quivra.operators.kv import retention_floor
-
-        return retention_floor(self.catalog["last"], list(self.catalog["snapshots"].values()), list(self.catalog["heads"].values()))
-
-    def scan(self, branch: str | None = None, snapshot: str | None = None, start=None, end=None) -> DataFrame:
-        from quivra.operators.kv import scan
-
-        at = self.catalog["snapshots"][snapshot] if snapshot else self.head(branch)
-        return scan(self.log(), at, start, end)
-
-    def compact(self) -> None:
-        """Rewrites the whole log to what the retention floor asks for; old files go after the catalog has changed."""
-        from quivra.operators.kv import compact
-
-        old = self.catalog["log"]
-        # what is visible at the floor must stay: rows at or under it collapse to the newest
-        self.catalog["log"] = [self._append(compact(self.log(), self.floor() + 1))]
-        self._save()
-        for name in old:
-            self.files.delete(name)
-
-    def archive(self, branch: str) -> str:
-        from quivra.operators.kv import archive
-
-        name = f"archive-{uuid.uuid4().hex}"
-        archive(self.log(), self.head(branch)).write.parquet(f"{self.files.root}/{name}")
-        self.catalog["archives"][name] = {"branch": branch, "seqno": self.head(branch)}
-        self._save()
-        return name
-
-    def clean_archives(self) -> list[str]:
-        """Drops records of archives whose files are gone."""
-        gone = [a for a in self.catalog["archives"] if not self.files.exists(a)]
-        for a in gone:
-            del self.catalog["archives"][a]
-        self._save()
-        return gone
-
-    def orphan_files(self) -> list[str]:
-        """Log folders that the catalog doesn't name."""
-        return [n for n in self.files.names() if n.startswith("log-") and n not in self.catalog["log"]]
+        return self.catalogs.latest() is not None and all(self.files.exists(p) for p in self.catalog["parts"])

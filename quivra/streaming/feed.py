@@ -12,11 +12,12 @@ from pyspark.sql.streaming.state import GroupState
 
 from quivra.sources.store import VectorStore
 
+REMEMBERED = 4096
 FENCED = "partition long, seq long, term long, payload string, status string"
 
 
 def _fence(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: the next sequence number, the greatest term, and the payload hashes of the last entries."""
+    """State: the next sequence number, the greatest term, and the payload hashes of the last REMEMBERED entries; one before them is `replayed`."""
     expected, term, known = state.get if state.exists else (1, 0, "{}")
     known = {int(k): v for k, v in (x.split("=") for x in known.strip("{}").split(";") if x)}
     rows = pd.concat(list(batches)).sort_values(["seq", "term"])
@@ -26,7 +27,7 @@ def _fence(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         if r.term < term:
             status = "stale term"
         elif r.seq < expected:
-            status = "duplicate" if known.get(r.seq) == digest else "conflict"
+            status = "replayed" if r.seq not in known else "duplicate" if known[r.seq] == digest else "conflict"
         elif r.seq > expected:
             status = "gap"
         else:
@@ -34,13 +35,14 @@ def _fence(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         if status in ("applied", "duplicate"):
             term = max(term, r.term)
         out.append((key[0], r.seq, r.term, r.payload, status))
-    kept = dict(sorted(known.items())[-4096:])
+    kept = dict(sorted(known.items())[-REMEMBERED:])
     state.update((expected, int(term), ";".join(f"{k}={v}" for k, v in kept.items())))
     yield pd.DataFrame(out, columns=["partition", "seq", "term", "payload", "status"])
 
 
 def fenced(journal: DataFrame) -> DataFrame:
-    """Each entry of journal(partition, seq, term, payload) with what becomes of it: applied, duplicate, conflict, gap or stale term.
+    """Each entry of journal(partition, seq, term, payload) with what becomes of it: applied, duplicate, conflict, gap, stale term, or
+    replayed: older than what the state remembers, to be told by resolved().
 
     Entries of a partition are applied strictly in order. Works on a stream and on a table."""
     from pyspark.sql.streaming.state import GroupStateTimeout
@@ -61,13 +63,21 @@ def fenced(journal: DataFrame) -> DataFrame:
     return rows.groupBy("partition").applyInPandas(whole, FENCED)
 
 
+def resolved(found: DataFrame, applied: DataFrame) -> DataFrame:
+    """fenced() with each replayed entry held against the journal of applied entries (partition, seq, payload): duplicate or conflict."""
+    kept = applied.select("partition", "seq", F.col("payload").alias("was"), F.lit(True).alias("there"))
+    status = F.when(F.col("there") & F.col("was").eqNullSafe(F.col("payload")), "duplicate").otherwise("conflict")
+    old = found.filter("status = 'replayed'").drop("status").join(kept, ["partition", "seq"], "left").withColumn("status", status)
+    return found.filter("status != 'replayed'").unionByName(old.select(found.columns))
+
+
 def into(store: VectorStore, mutations: DataFrame, checkpoint: str) -> DataStreamWriter:
     """A writer that applies each micro-batch of mutations(pos, kind, id, values) as one commit.
 
     A batch that Spark repeats after a failure has the name it had and is not applied again."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        store.apply(batch, batch=f"{checkpoint}:{number}")
+        store.apply(batch, batch=(checkpoint, number))
 
     return mutations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
 

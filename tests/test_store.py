@@ -1,3 +1,6 @@
+import os
+import pathlib
+import random
 import time
 
 import pytest
@@ -6,7 +9,8 @@ from pyspark.sql import functions as F
 from quivra.operators.knn import DimensionError
 from quivra.operators import topology
 from quivra.sources import datasets
-from quivra.sources.store import KeyValueStore, VectorStore
+from quivra.sources.keyvalue import KeyValueStore
+from quivra.sources.store import ConflictError, VectorStore
 from quivra.streaming import feed
 
 OPS = "pos long, kind string, id long, values array<double>"
@@ -47,10 +51,79 @@ def test_key_value_store(spark, tmp_path):
     s.branch("checkout", "feature")
     s.write_batch([("put", b"a", b"9")])
     assert values()[b"a"] == b"9" and values(branch="main")[b"a"] == b"1"
-    assert s.archive("feature") in s.catalog["archives"] and s.clean_archives() == [] and s.orphan_files() == []
+    assert s.archive("feature") in s.catalog["archives"] and s.clean_archives() == []
+    assert s.orphan_files() and s.clean() and s.orphan_files() == []
     assert KeyValueStore(spark, f"file://{tmp_path}/k").head() == s.head()
 
 
+def test_key_value_files_levels_and_tiers(spark, tmp_path):
+    rng = random.Random(3)
+    s = KeyValueStore(spark, f"file://{tmp_path}/k", file_rows=40, l0_files=3, level_bytes=1500)
+    model, pinned = {}, {}
+    for step in range(7):
+        ops = []
+        for _ in range(30):
+            key = f"k{rng.randrange(60):03d}".encode()
+            kind = rng.choice(["put", "put", "put", "del", "rdel"])
+            if kind == "rdel":
+                ops.append((kind, key, key[:-1] + b"~"))
+                model = {k: v for k, v in model.items() if not key <= k < key[:-1] + b"~"}
+            else:
+                ops.append((kind, key, f"{step}".encode() if kind == "put" else None))
+                model.pop(key, None)
+                if kind == "put":
+                    model[key] = f"{step}".encode()
+        s.write_batch(ops)
+        if step == 2:
+            pinned, name = dict(model), s.snapshot()
+        if step in (2, 5):
+            assert s.auto_compact() >= 1 and max(r["level"] for r in s.catalog["files"].values()) >= 1
+    values = lambda df: {bytes(r["user_key"]): bytes(r["value"]) for r in df.collect()}
+    assert values(s.scan()) == model and values(s.scan(snapshot=name)) == pinned
+    low = sorted(model)[0]
+    assert values(s.get(low)) == {low: model[low]} and s.get(b"nothing").isEmpty()
+    assert len(s.overlapping(b"k000", b"k003")) < len(s.catalog["files"])
+    assert [bytes(r["user_key"]) for r in s.seek(b"k010", 3).collect()] == sorted(k for k in model if k >= b"k010")[:3]
+    assert values(s.scan_prefix(b"k02")) == {k: v for k, v in model.items() if k.startswith(b"k02")}
+    size = sum(r["size_bytes"] for r in s.catalog["files"].values())
+    assert s.rebalance(size // 2) and {r["tier"] for r in s.catalog["files"].values()} == {"hot", "cold"}
+    frozen = s.freeze(max(r["level"] for r in s.catalog["files"].values()))
+    assert frozen and values(s.scan()) == model
+    s.thaw(frozen)
+    assert all(r["ok"] for r in s.scrub().collect()) and values(s.scan(snapshot=name)) == pinned
+    s.ingest(spark.createDataFrame([(bytearray(b"k000"), "put", bytearray(b"new"))], "user_key binary, kind string, value binary"))
+    with pytest.raises(ValueError):
+        s.write_batch([("rdel", b"b", b"a")])
+    assert values(s.get(b"k000")) == {b"k000": b"new"}
+    again = KeyValueStore(spark, f"file://{tmp_path}/k")
+    s.clean()
+    assert {**model, b"k000": b"new"} == values(again.scan()) and again.head() == s.head()
+    broken = s._path(next(iter(s.catalog["files"])))[len("file://") :]
+    spark.createDataFrame([(bytearray(b"x"), 1, "put", bytearray(b"y"))], "user_key binary, seqno long, kind string, value binary").coalesce(1).write.parquet(f"{tmp_path}/other")
+    os.replace(next(p for p in map(str, tmp_path.glob("other/*.parquet"))), broken)
+    for crc in pathlib.Path(broken).parent.glob(".*.crc"):
+        crc.unlink()
+    assert sum(not r["ok"] for r in s.scrub().collect()) == 1
+
+
+def test_two_writers_and_crashes(spark, tmp_path):
+    root = f"file://{tmp_path}/v"
+    a = VectorStore(spark, root, dim=1, shards=2, max_parts=3)
+    b = VectorStore(spark, root)
+    ops = lambda *rows: spark.createDataFrame([(i, k, key, v) for i, (k, key, v) in enumerate(rows)], OPS)
+    a.apply(ops(("upsert", 1, [1.0]), ("upsert", 2, [2.0])), ("w", 1))
+    with pytest.raises(ConflictError):
+        b.apply(ops(("upsert", 3, [3.0])), ("x", 1))
+    # what b wrote is named by no catalog
+    again = VectorStore(spark, root, max_parts=3)
+    assert ids(again) == [1, 2] and len(again.orphans()) == 1
+    assert again.apply(ops(("delete", 1, None)), ("w", 1)) == {"upserts": 0, "deletes": 0}
+    for n in range(2, 7):
+        again.apply(ops(("upsert", n, [float(n)]), ("delete", n - 1, None)), ("w", n))
+    assert ids(again) == [6] and len(again.catalog["parts"]) <= 3 and again.catalog["applied"] == {"w": 6}
+    assert again.clean(1) and again.orphans() == [] and ids(VectorStore(spark, root)) == [6]
+
+
 def test_fencing(spark):
     rows = [(1, 1, 1, "a"), (1, 2, 2, "b"), (1, 2, 2, "b"), (1, 2, 2, "x"), (1, 4, 2, "d"), (1, 3, 1, "c"), (2, 1, 1, "z")]
     found = feed.fenced(spark.createDataFrame(rows, "partition long, seq long, term long, payload string"))
@@ -58,6 +131,18 @@ def test_fencing(spark):
     assert status == [(1, 1, "a", "applied"), (1, 2, "b", "applied"), (1, 2, "b", "duplicate"), (1, 2, "x", "conflict"), (1, 3, "c", "stale term"), (1, 4, "d", "gap"), (2, 1, "z", "applied")]
 
 
+def test_replays_beyond_memory(spark, monkeypatch):
+    monkeypatch.setattr(feed, "REMEMBERED", 5)
+    text = "partition long, seq long, term long, payload string"
+    rows = [(1, i, 1, f"p{i}") for i in range(1, 21)]
+    first = [*rows, (1, 3, 1, "p3"), (1, 4, 1, "other"), (1, 19, 1, "p19")]
+    found = feed.fenced(spark.createDataFrame(first, text))
+    assert found.filter("status = 'applied'").count() == 20
+    old = spark.createDataFrame([(1, 3, 1, "p3", "replayed"), (1, 4, 1, "other", "replayed"), (1, 19, 1, "p19", "duplicate")], text + ", status string")
+    told = {r["seq"]: r["status"] for r in feed.resolved(old, spark.createDataFrame(rows, text)).collect()}
+    assert told == {3: "duplicate", 4: "conflict", 19: "duplicate"}
+
+
 def test_streams(spark, tmp_path):
     source = f"{tmp_path}/in"
     schema = "partition long, seq long, term long, payload string"
