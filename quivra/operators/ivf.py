@@ -5,11 +5,11 @@ breaks ties to the lowest centroid and leaves empty clusters where they are."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quivra.functions.vector import distances, matrix, norm2, squared_l2
@@ -165,9 +165,11 @@ def _scorer(probes: dict[int, np.ndarray], qids: np.ndarray, points: np.ndarray,
     return run
 
 
-def _score(members: DataFrame, probes: dict[int, np.ndarray], qids: np.ndarray, points: np.ndarray, k: int) -> DataFrame:
-    """(qid, id, distance): the lists are read where they lie; only k rows a query and task are exchanged afterwards."""
-    rows = members.select("posting_id", "id", "values")
+def _score(members: DataFrame | Callable[[list[int]], DataFrame], probes: dict[int, np.ndarray], qids: np.ndarray, points: np.ndarray, k: int) -> DataFrame:
+    """(qid, id, distance): the lists are read where they lie; only k rows a query and task are exchanged afterwards.
+
+    members may be a function that reads the given postings, as a stored index has."""
+    rows = (members(list(probes)) if callable(members) else members).select("posting_id", "id", "values")
     if len(probes) <= 1000:
         rows = rows.filter(F.col("posting_id").isin(list(probes)))  # reaches the scan of a stored index
     return rows.mapInArrow(_scorer(probes, qids, points, k), "qid long, id long, distance double")
@@ -203,11 +205,11 @@ def _by_posting(chosen: list[np.ndarray]) -> dict[int, np.ndarray]:
     return {p: np.array(q) for p, q in out.items()}
 
 
-def _union(parts: list[DataFrame], members: DataFrame, k: int) -> DataFrame:
+def _union(parts: list[DataFrame], spark: SparkSession, k: int) -> DataFrame:
     out = None
     for part in parts:
         out = part if out is None else out.union(part)
-    return ranked(out if out is not None else members.sparkSession.createDataFrame([], "qid long, id long, distance double"), k)
+    return ranked(out if out is not None else spark.createDataFrame([], "qid long, id long, distance double"), k)
 
 
 def search(members: DataFrame, centroids: dict[int, np.ndarray], queries: DataFrame, k: int, n: int, block: int = 4096) -> DataFrame:
@@ -216,7 +218,7 @@ def search(members: DataFrame, centroids: dict[int, np.ndarray], queries: DataFr
     for qids, points in _blocks(queries, block):
         chosen = [ids for ids, _ in _nearest_lists(centroids, points, n)]
         found.append(_score(members, _by_posting(chosen), qids, points, k))
-    return _union(found, members, k)
+    return _union(found, queries.sparkSession, k)
 
 
 def posting_stats(members: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
@@ -262,9 +264,9 @@ def pruned_search(members: DataFrame, centroids: dict[int, np.ndarray], stats: D
         for q, (ids, low) in zip(qids, plans):
             seen = limit.get(q)
             more.append(ids[first:][low[first:] * (1 - 1e-6) <= seen["max"]] if seen and seen["size"] >= k else ids[first:])
-        parts.append(members.sparkSession.createDataFrame(near[["qid", "id", "distance"]], "qid long, id long, distance double"))
+        parts.append(queries.sparkSession.createDataFrame(near[["qid", "id", "distance"]], "qid long, id long, distance double"))
         parts.append(_score(members, _by_posting(more), qids, points, k))
-    return _union(parts, members, k)
+    return _union(parts, queries.sparkSession, k)
 
 
 def coarse_layer(centroids: dict[int, np.ndarray], iterations: int = 2) -> tuple[np.ndarray, dict[int, int]]:

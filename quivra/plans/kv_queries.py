@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quivra.operators import kv, topology
+from quivra.sources.folders import new_path
+from quivra.sources.keyvalue import KeyValueStore
 from quivra.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,6 +113,68 @@ def kv_archive(spark, d):
     return kv.archive(log(spark, d), BRANCH)
 
 
+# ---- the stored log: files with key ranges in levels
+
+
+def stored(spark, d) -> tuple[KeyValueStore, str]:
+    """The log written in two batches with a snapshot between them, and compacted."""
+    store = KeyValueStore(spark, new_path(spark, "log"), file_rows=2000, l0_files=2)
+    ops = log(spark, d).selectExpr("seqno as pos", "kind", "cast(user_key as binary) user_key", "cast(value as binary) value")
+    store.write(ops.filter(F.col("pos") <= SNAPSHOT))
+    name = store.snapshot()
+    store.write(ops.filter(F.col("pos") > SNAPSHOT))
+    store.auto_compact()
+    return store, name
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_key").cast("string").alias("user_key"), "seqno", F.col("value").cast("string").alias("value"))
+
+
+@query(f"WITH {LOG} {seen()}")
+def kv_store_scan(spark, d):
+    return plain(stored(spark, d)[0].scan())
+
+
+@query(f"WITH {LOG} {seen(str(SNAPSHOT))}")
+def kv_store_snapshot(spark, d):
+    store, name = stored(spark, d)
+    return plain(store.scan(snapshot=name))
+
+
+@query(f"WITH {LOG} SELECT * FROM ({seen()}) WHERE user_key LIKE 'u00000%'")
+def kv_store_prefix(spark, d):
+    return plain(stored(spark, d)[0].scan_prefix(b"u00000"))
+
+
+@query(f"WITH {LOG} SELECT * FROM ({seen()}) WHERE user_key >= 'u000020' ORDER BY user_key LIMIT 5")
+def kv_store_seek(spark, d):
+    return plain(stored(spark, d)[0].seek(b"u000020", 5))
+
+
+@query(f"WITH {LOG} SELECT * FROM ({seen(str(SNAPSHOT))}) WHERE user_key = 'u000007'")
+def kv_store_get(spark, d):
+    store, name = stored(spark, d)
+    return plain(store.get(b"u000007", snapshot=name))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS entries, CAST(0 AS BIGINT) AS bad FROM events")
+def kv_store_scrub(spark, d):
+    """Of files as written: every entry read and held against its file's record."""
+    store = KeyValueStore(spark, new_path(spark, "log"), file_rows=2000)
+    store.write(log(spark, d).selectExpr("seqno as pos", "kind", "cast(user_key as binary) user_key", "cast(value as binary) value"))
+    return store.scrub().agg(F.sum("entries").cast("long").alias("entries"), F.count_if(~F.col("ok")).alias("bad"))
+
+
+@query(f"WITH {LOG} {seen()}")
+def kv_store_tiers(spark, d):
+    """After half of the bytes went to the cold tier and the deepest level was frozen and thawed."""
+    store, _ = stored(spark, d)
+    store.rebalance(sum(r["size_bytes"] for r in store.catalog["files"].values()) // 2)
+    store.thaw(store.freeze(max(r["level"] for r in store.catalog["files"].values())))
+    return plain(store.scan())
+
+
 INGESTED = "o2 AS (SELECT * FROM o UNION ALL SELECT 'u' || lpad(CAST(vec_id AS VARCHAR), 6, '0'), vec_id * 3, 'put', 'ingested' FROM embeddings)"
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quivra.functions import vector as v
 from quivra.operators import ivf, knn, mutations, saq, sharded
+from quivra.sources.folders import new_path
+from quivra.sources.index import StoredIndex
+from quivra.sources.store import VectorStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -300,6 +303,46 @@ def merge_postings(spark, d):
     return mutations.merge_small(members, centroids, 20).groupBy("posting_id").agg(F.count("*").alias("size"))
 
 
+# ---- the stored index and the stored rows
+
+
+def stored_index(spark, d) -> StoredIndex:
+    """Built over all rows, then changed by the batch and maintained."""
+    rows = base(spark, d)
+    index = StoredIndex(spark, new_path(spark, "index"), dim=64, cells=8, split_limit=64, merge_limit=8)
+    index.build(rows, POSTINGS, ROUNDS)
+    index.apply(changes(rows), ("changes", 1))
+    index.maintain()
+    return index
+
+
+@query(f"WITH {BASE}, {CHANGES} {top(all_pairs('live'))}")
+def index_search_after_updates(spark, d):
+    return shown(stored_index(spark, d).search_exact(asked(base(spark, d)), K))
+
+
+@query(f"WITH {BASE}, {CHANGES} SELECT b.id, round({l2('live.v', 'z.v')}, 6) AS distance FROM b LEFT JOIN live ON b.id = live.id, (SELECT v FROM b WHERE id = 0) z")
+def index_distances(spark, d):
+    rows = base(spark, d)
+    point = [float(x) for x in rows.filter("id = 0").first()["values"]]
+    return stored_index(spark, d).distances(point, rows.select("id")).select("id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"WITH {BASE}, {CHANGES} SELECT count(*) AS members, CAST(1 AS BIGINT) AS commits FROM live")
+def index_members(spark, d):
+    index = stored_index(spark, d)
+    return index.members().agg(F.count("*").alias("members"), F.count_distinct("id").alias("ids"), F.lit(index.catalog["applied"]["changes"]).cast("long").alias("commits")).filter("members = ids").drop("ids")
+
+
+@query(f"WITH {BASE}, {CHANGES} SELECT id, round({DOT.format(a='v', b='v')}, 4) AS norm2 FROM live")
+def vector_store_after_updates(spark, d):
+    rows = base(spark, d)
+    store = VectorStore(spark, new_path(spark, "rows"), dim=64, shards=4)
+    store.bulk_load(rows)
+    store.apply(changes(rows), ("changes", 1))
+    return store.read().select("id", F.round(v.norm2("values"), 4).alias("norm2"))
+
+
 EVENTS = "ev AS (SELECT vec_id AS seq, label AS posting_id, vec_id % 50 AS id, vec_id % 7 = 3 AS tombstone FROM embeddings)"
 
 

@@ -198,16 +198,16 @@ class StoredIndex:
 
     def search(self, queries: DataFrame, k: int, nprobe: int) -> DataFrame:
         """(qid, rank, id, distance) within the nprobe nearest lists of each query; a block of queries reads the lists it probes."""
-        return ivf.search(self._reader(), self.centroids(), queries, k, nprobe)
+        return ivf.search(self._probed, self.centroids(), queries, k, nprobe)
 
     def search_exact(self, queries: DataFrame, k: int) -> DataFrame:
         """The k nearest of all rows: lists whose bound is over a query's k-th distance are not scored for it."""
         centroids = self.centroids()
-        return ivf.pruned_search(self._reader(), centroids, self.lists().filter("size > 0"), queries, k, len(centroids))
+        return ivf.pruned_search(self._probed, centroids, self.lists().filter("size > 0"), queries, k, len(centroids))
 
-    def _reader(self) -> DataFrame:
-        """Members with their cell, so that a filter on posting_id by ivf reaches partitions as well."""
-        return self.members()
+    def _probed(self, postings: list[int]) -> DataFrame:
+        """Members of the lists probed; beyond a few thousand lists all cells are read anyway."""
+        return self.members(postings if len(postings) <= 5000 else None)
 
     def distances(self, point: list[float], ids: DataFrame) -> DataFrame:
         """(id, distance) of some ids to a point, null for ids that are not there."""

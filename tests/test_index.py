@@ -63,4 +63,6 @@ def test_a_search_reads_the_cells_it_probes(spark, tmp_path):
     index = StoredIndex(spark, f"file://{tmp_path}/i", dim=1, cells=8)
     index.build(spark.createDataFrame([(i, [float(i)]) for i in range(64)], "id long, values array<double>"), 8)
     plan = index.members([3])._jdf.queryExecution().executedPlan().toString()
+    few = spark.createDataFrame([(0, [3.0])], "qid long, values array<double>")
+    assert index.search(few, 2, 2).count() == 2
     assert "PartitionFilters" in plan and "cell" in plan.split("PartitionFilters")[1][:200]
