@@ -115,33 +115,46 @@ def lire_reassign(members: DataFrame, centroids: dict[int, np.ndarray], old: np.
     Members of the parts move if the old centroid was no farther than any part and a posting in scope is nearer; members
     of the other postings in scope move to the nearest part if a part is no farther than the old centroid and nearer than their own.
     Ties go to the part given first and to the lowest posting id. Rows outside parts and scope are not sent to Python."""
+    return lire_reassign_all(members, centroids, [(old, parts)], scope)
+
+
+def lire_reassign_all(members: DataFrame, centroids: dict[int, np.ndarray], splits: list[tuple[np.ndarray, tuple[int, ...]]], scope: int) -> DataFrame:
+    """lire_reassign() for several splits, one after the other, in one pass over the rows."""
     ids = np.array(list(centroids), np.int64)
     points = np.array(list(centroids.values()))
-    around = [int(x) for x in ids[np.lexsort((ids, distances(points, old)))] if int(x) not in parts][:scope]
-    beside = np.array(sorted(around), np.int64)
+    plans = []
+    for old, parts in splits:
+        around = [int(x) for x in ids[np.lexsort((ids, distances(points, old)))] if int(x) not in parts][:scope]
+        plans.append((old, parts, np.array(sorted(around), np.int64)))
     to = lambda rows, chosen: np.array([distances(rows, centroids[int(p)]) for p in chosen]).reshape(len(chosen), len(rows))
 
+    def moved(own: np.ndarray, rows: np.ndarray, old: np.ndarray, parts: tuple[int, ...], beside: np.ndarray) -> np.ndarray:
+        target, mine = own.copy(), np.empty(len(own))
+        for p in np.unique(own):
+            at = own == p
+            mine[at] = distances(rows[at], centroids[int(p)])
+        was, split_, near = distances(rows, old), to(rows, parts), to(rows, beside)
+        inside = np.isin(own, parts)
+        if len(beside):
+            leave = inside & (was <= split_.min(axis=0)) & (near.min(axis=0) < mine)
+            target[leave] = beside[near.argmin(axis=0)[leave]]
+        join = ~inside & (split_.min(axis=0) <= was) & (split_.min(axis=0) < mine)
+        target[join] = np.array(parts, np.int64)[split_.argmin(axis=0)[join]]
+        return target
+
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, rows = batch.column(0).to_numpy(), matrix(batch.column(2))
-            target, mine = own.copy(), np.empty(len(own))
-            for p in np.unique(own):
-                at = own == p
-                mine[at] = distances(rows[at], centroids[int(p)])
-            was, split_, near = distances(rows, old), to(rows, parts), to(rows, beside)
-            inside = np.isin(own, parts)
-            if len(beside):
-                best = near.argmin(axis=0)
-                leave = inside & (was <= split_.min(axis=0)) & (near.min(axis=0) < mine)
-                target[leave] = beside[best[leave]]
-            join = ~inside & (split_.min(axis=0) <= was) & (split_.min(axis=0) < mine)
-            target[join] = np.array(parts, np.int64)[split_.argmin(axis=0)[join]]
-            yield pa.RecordBatch.from_arrays([pa.array(target), batch.column(1), batch.column(2)], names=["posting_id", "id", "values"])
+            own, rows = batch.column(0).to_numpy().copy(), matrix(batch.column(2))
+            for old, parts, beside in plans:
+                at = np.flatnonzero(np.isin(own, [*parts, *beside]))
+                if len(at):
+                    own[at] = moved(own[at], rows[at], old, parts, beside)
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(1), batch.column(2)], names=["posting_id", "id", "values"])
 
     rows = members.select("posting_id", "id", "values")
-    reached = F.col("posting_id").isin([*parts, *around])
+    reached = F.col("posting_id").isin(sorted({int(p) for _, parts, beside in plans for p in [*parts, *beside]}))
     return rows.filter(reached).mapInArrow(move, "posting_id long, id long, values array<double>").unionByName(rows.filter(~reached))
 
 

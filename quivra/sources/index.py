@@ -168,8 +168,7 @@ class StoredIndex:
                 old = {p: centroids.pop(p) for p in large}
                 centroids |= fresh
                 inside = lambda: {p: c for p, c in centroids.items() if p in set(touched) or p > last}
-                for p in large:
-                    rows = m.lire_reassign(rows, inside(), old[p], tuple(sorted(parts[p])), self.scope)
+                rows = m.lire_reassign_all(rows, inside(), [(old[p], tuple(sorted(parts[p]))) for p in large], self.scope)
             merged = [p for p in small if p in centroids]
             if merged and len(merged) < len(centroids):
                 rest = {p: c for p, c in centroids.items() if p not in set(merged)}
