@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +26,16 @@ def held(key: tuple, make):
 def free_held() -> None:
     """Frees what earlier stages left in a reused worker."""
     _held.clear()
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Arrow's pool and the C library keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quivra.llm import hashing
-from quivra.llm.common import free_held, quoted
+from quivra.llm.common import free_held, quoted, release
 
 FEATURES = 7
 #: Characters that are hashed at once.
@@ -181,6 +181,11 @@ def pieces(text: str, size: int | None = None) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Counts in the smallest integers that hold them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
 def _merged(parts: list[np.ndarray]) -> list[np.ndarray]:
     """Joins sorted keys once what is new is as large as what was there."""
     return [np.unique(np.concatenate(parts))] if sum(map(len, parts[1:])) >= len(parts[0]) else parts
@@ -215,7 +220,8 @@ def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: i
         for j in range(order):
             at = rows[first] - j
             chars[j, place] = np.where(size[first] > j, number_of[lines.codes[np.maximum(at, 0)]], 0)
-    size = (chars > 0).sum(axis=0, dtype=np.uint8)
+    n = [_narrow(x) for x in n]
+    size = sum((row > 0).astype(np.uint8) for row in chars)
     mix = np.concatenate(([np.uint64(0)], hashing.points()[points[1:]]))
     without_last = lambda keys, rows: (keys - mix[chars[0, rows]]) * hashing.BACK
 
@@ -228,10 +234,12 @@ def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: i
         inverse[k + 1] = back.astype(np.int32)
         begin = every[size == k] if k > 1 else every[:0]
         at, at_key = np.concatenate((at[first], begin)), np.concatenate((shorter, key[begin]))
-        number = np.concatenate((number, (n[0] + n[1])[begin]))
+        number = np.concatenate((number, n[0][begin].astype(np.int64) + n[1][begin]))
         group = np.unique(without_last(at_key, at), return_inverse=True)[1]
-        level[k] = number.astype(np.int64), group.astype(np.int32), len(begin)
-    del at, at_key, back, shorter, first, group
+        level[k] = _narrow(number), group.astype(np.int32), len(begin)
+        del back, shorter, first, group, number
+    del at, at_key
+    chars = chars[:1].copy()
     p, low = np.full(1, 1.0 / max(2, len(points) - 2)), np.zeros(len(key))
     for k in range(1, order):
         number, group, begins = level.pop(k)
@@ -242,7 +250,9 @@ def kneser_ney(words: list[str], counts: tuple[np.ndarray, np.ndarray], order: i
             low[size == k] = p[len(p) - begins :]
     low[size == order] = p[inverse.pop(order)]
 
+    del p, below, total, kinds, number
     contexts, group = np.unique(without_last(key, every), return_inverse=True)
+    group = group.astype(np.int32)
     ratio, default = np.zeros(len(key)), np.zeros(len(contexts))
     for c, sign in ((0, -1), (1, 1)):
         total, kinds = np.bincount(group, n[c], len(contexts)), np.bincount(group, n[c] > 0, len(contexts))
@@ -371,6 +381,7 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = 2000, order: i
         return None
     shared = spark.sparkContext.broadcast(model)
     del model
+    release()
 
     def seen_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
