@@ -120,3 +120,19 @@ def test_vector_functions(spark):
     got = row.select(v.squared_l2("a", "b"), v.dot("a", "b"), v.norm2("a"), v.add("a", "b"), v.scale("a", 2), v.permute("b", [1, 0])).first()
     assert tuple(got) == (13.0, 13.0, 5.0, [4.0, 7.0], [2.0, 4.0], [5.0, 3.0])
     assert v.inverse([2, 0, 1]) == [1, 2, 0]
+
+
+def test_measures_of_all_pairs_without_an_expression_a_pair(spark, small):
+    b = base(spark, small)
+    assert "MapInArrow" in knn.measures(b, asked(b))._jdf.queryExecution().executedPlan().toString()
+    pairs = b.crossJoin(asked(b).withColumnRenamed("values", "p"))
+    want = pairs.select("qid", "id", F.round(v.squared_l2("values", "p"), 6), F.round(v.dot("values", "p"), 6), F.round(v.norm2("values"), 6), F.round(v.dot(v.scale("values", 2), "p"), 6))
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, knn.measures(b, asked(b), block=2).collect()))
+
+
+def test_measures_keep_odd_vectors(spark):
+    b = spark.createDataFrame([(0, [1.0, 2.0]), (1, None), (2, [1.0]), (3, [None, 1.0]), (4, [-0.0000001, 0.0])], ROW)
+    got = {(r["qid"], r["id"]): tuple(r)[2:] for r in knn.measures(b, b.select(F.col("id").alias("qid"), "values")).collect()}
+    assert len(got) == 25 and got[0, 0] == (0.0, 5.0, 5.0, 10.0) and got[2, 2] == (0.0, 1.0, 1.0, 2.0)
+    assert got[0, 1] == (None, None, None, None) and got[0, 2] == (None, None, 1.0, None) and got[1, 0][2] == 5.0
+    assert str(got[0, 4][1]) == "0.0"  # no negative zero
