@@ -175,6 +175,47 @@ def _score(members: DataFrame | Callable[[list[int]], DataFrame], probes: dict[i
     return rows.mapInArrow(_scorer(probes, qids, points, k), "qid long, id long, distance double")
 
 
+def _bounds(points: np.ndarray, middle: np.ndarray, radius: float, norm: float) -> np.ndarray:
+    """Squared distance to each point that no member of a posting can be under."""
+    return np.maximum(np.maximum(np.sqrt(distances(points, middle)) - radius, 0.0), np.maximum(np.sqrt(np.einsum("ij,ij->i", points, points)) - norm, 0.0)) ** 2
+
+
+def _bound_scorer(lists: dict[int, tuple[np.ndarray, float, float]], qids: np.ndarray, points: np.ndarray, limit: np.ndarray, done: np.ndarray, k: int):
+    """As _scorer, for all postings whose bound is not over a query's limit, but those in done (a row a query).
+
+    Which query meets which posting is worked out for the postings of a batch, so a task holds lists and queries but never all their pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, worst = {}, limit.copy()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, rows = batch.column(1).to_numpy(), matrix(batch.column(2), points.shape[1])
+            own, where = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            meets = np.array([_bounds(points, *lists[p]) * (1 - 1e-6) <= worst if p in lists else np.zeros(len(points), bool) for p in own.tolist()])
+            for row, p in zip(meets, own):
+                row &= (done != p).all(axis=1)
+            for q in np.flatnonzero(meets.any(axis=0)).tolist():
+                at = slice(None) if meets[:, q].all() else np.flatnonzero(meets[where, q])
+                d, i = distances(rows[at], points[q]), ids[at]
+                near = np.flatnonzero(d <= worst[q])
+                d, i = d[near], i[near]
+                if q in best:
+                    d, i = np.concatenate((best[q][0], d)), np.concatenate((best[q][1], i))
+                if len(d) > k:
+                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])  # with all ties at the end
+                    d, i = d[near], i[near]
+                keep = np.lexsort((i, d))[:k]
+                best[q] = d[keep], i[keep]
+                if len(keep) == k:
+                    worst[q] = min(worst[q], d[keep[-1]])
+        if best:
+            n = [len(d) for d, _ in best.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids[list(best)], n)), pa.array(np.concatenate([i for _, i in best.values()])), pa.array(np.concatenate([d for d, _ in best.values()]))], names=["qid", "id", "distance"])
+
+    return run
+
+
 def _blocks(queries: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(qids, points) of at most `block` queries at a time."""
     asked, low = queries.select(F.col("qid").cast("long"), F.col("values").cast("array<double>")), None
@@ -249,24 +290,34 @@ def pruned_search(members: DataFrame, centroids: dict[int, np.ndarray], stats: D
 
     The `first` postings in the order of their bounds give each query a k-th distance (k rows a query come to the driver, at most
     `block` queries at a time); of the others only those whose bound is under it are read."""
+    spark = queries.sparkSession
+    if k <= 0:
+        return _union([], spark, k)
     bound_of = {int(r["posting_id"]): (r["max_radius"], r["max_l2_norm"]) for r in stats.toLocalIterator()}
+    ids, middle = np.array(list(centroids), np.int64), np.array(list(centroids.values()))
+    radius, norm = np.array([bound_of.get(int(p), (np.inf, np.inf)) for p in ids]).reshape(-1, 2).T
     parts = []
     for qids, points in _blocks(queries, block):
-        plans = []
-        for point, (ids, d) in zip(points, _nearest_lists(centroids, points, n)):
-            radius, norm = np.array([bound_of.get(int(p), (np.inf, np.inf)) for p in ids]).T
-            low = np.maximum(np.maximum(np.sqrt(d) - radius, 0.0), np.maximum(np.sqrt(point @ point) - norm, 0.0)) ** 2
-            order = np.lexsort((ids, d, low))
-            plans.append((ids[order], low[order]))
-        near = ranked(_score(members, _by_posting([ids[:first] for ids, _ in plans]), qids, points, k), k).toPandas()
-        limit = near.groupby("qid")["distance"].agg(["size", "max"]).to_dict("index") if len(near) else {}
-        more = []
-        for q, (ids, low) in zip(qids, plans):
-            seen = limit.get(q)
-            more.append(ids[first:][low[first:] * (1 - 1e-6) <= seen["max"]] if seen and seen["size"] >= k else ids[first:])
-        parts.append(queries.sparkSession.createDataFrame(near[["qid", "id", "distance"]], "qid long, id long, distance double"))
-        parts.append(_score(members, _by_posting(more), qids, points, k))
-    return _union(parts, queries.sparkSession, k)
+        plans = []  # of all postings a query only the first; of fewer all, as only they may be searched
+        for point in points:
+            d = distances(middle, point)
+            chosen = slice(None) if n >= len(ids) else np.lexsort((ids, d))[:n]
+            low = np.maximum(np.maximum(np.sqrt(d[chosen]) - radius[chosen], 0.0), np.maximum(np.sqrt(point @ point) - norm[chosen], 0.0)) ** 2
+            order = np.lexsort((ids[chosen], d[chosen], low))[: first if n >= len(ids) else None]
+            plans.append((ids[chosen][order], low[order]))
+        near = ranked(_score(members, _by_posting([x[:first] for x, _ in plans]), qids, points, k), k).toPandas()
+        seen = near.groupby("qid")["distance"].agg(["size", "max"]) if len(near) else None
+        full = {} if seen is None else seen[seen["size"] >= k]["max"].to_dict()
+        limit = np.array([full.get(q, np.inf) for q in qids.tolist()])
+        parts.append(spark.createDataFrame(near[["qid", "id", "distance"]], "qid long, id long, distance double"))
+        if n >= len(ids):
+            lists = {int(p): (c, float(r), float(m)) for p, c, r, m in zip(ids, middle, radius, norm)}
+            rows = (members(list(lists)) if callable(members) else members).select("posting_id", "id", "values")
+            parts.append(rows.mapInArrow(_bound_scorer(lists, qids, points, limit, np.array([x for x, _ in plans]), k), "qid long, id long, distance double"))
+        else:
+            more = [x[first:][low[first:] * (1 - 1e-6) <= most] for (x, low), most in zip(plans, limit)]
+            parts.append(_score(members, _by_posting(more), qids, points, k))
+    return _union(parts, spark, k)
 
 
 def coarse_layer(centroids: dict[int, np.ndarray], iterations: int = 2) -> tuple[np.ndarray, dict[int, int]]:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quivra.functions.vector import squared_l2
+from quivra.functions.vector import norm2, squared_l2
+from quivra.operators import ivf
 from quivra.operators.ivf import means, plain
 from quivra.operators.knn import exact_knn, ranked
 
@@ -24,24 +26,17 @@ def search(base: DataFrame, queries: DataFrame, k: int, shards: int) -> DataFram
 
 
 def balls(base: DataFrame, shards: int) -> DataFrame:
-    """(shard, centroid, radius): a ball around each shard's rows."""
+    """(shard, centroid, radius, norm): a ball around each shard's rows, and their largest norm."""
     rows = sharded(base, shards)
     middle = means(rows.withColumnRenamed("shard", "posting_id")).select(F.col("posting_id").alias("shard"), "centroid")
-    return rows.join(middle, "shard").groupBy("shard").agg(F.first("centroid").alias("centroid"), F.max(F.sqrt(squared_l2("values", "centroid"))).alias("radius"))
+    far = F.max(F.sqrt(squared_l2("values", "centroid"))).alias("radius")
+    return rows.join(F.broadcast(middle), "shard").groupBy("shard").agg(F.first("centroid").alias("centroid"), far, F.max(F.sqrt(norm2("values"))).alias("norm"))
 
 
 def pruned_search(base: DataFrame, queries: DataFrame, k: int, shards: int) -> DataFrame:
     """The same rows: the shard whose ball is nearest gives each query a k-th distance, and only shards whose ball comes
-    nearer than that are searched further."""
-    ball = balls(base, shards)
-    near = queries.select("qid", F.col("values").alias("point")).crossJoin(F.broadcast(ball))  # a row a shard; queries are not bounded
-    gap = F.greatest(F.sqrt(squared_l2("point", "centroid")) - F.col("radius"), F.lit(0.0))
-    reach = near.select("qid", "point", "shard", (gap * gap).alias("bound"))
-    first = reach.groupBy("qid").agg(F.min_by("shard", F.struct("bound", "shard")).alias("shard"), F.first("point").alias("point"))
-    rows = sharded(base, shards)
-    score = lambda p: p.join(rows, "shard").select("qid", "id", squared_l2("point", "values").alias("distance"))
-    best = ranked(score(first), k)
-    limit = best.groupBy("qid").agg(F.when(F.count("*") >= k, F.max("distance")).alias("limit"))
-    rest = reach.join(first.select("qid", F.col("shard").alias("done")), "qid").filter("shard != done").join(limit, "qid", "left")
-    rest = rest.filter(F.col("limit").isNull() | (F.col("bound") * (1 - 1e-6) <= F.col("limit")))
-    return ranked(best.select("qid", "id", "distance").unionByName(score(rest)), k)
+    nearer than that are searched further. Rows are scored where they are read; k of them a query and task are exchanged."""
+    told = balls(base, shards).orderBy("shard").collect()  # a row a shard
+    members = sharded(base, shards).withColumnRenamed("shard", "posting_id")
+    stats = base.sparkSession.createDataFrame([(r["shard"], r["radius"], r["norm"]) for r in told], "posting_id long, max_radius double, max_l2_norm double")
+    return ivf.pruned_search(members, {int(r["shard"]): np.array(r["centroid"]) for r in told}, stats, queries, k, len(told), first=1)

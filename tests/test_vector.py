@@ -136,3 +136,22 @@ def test_measures_keep_odd_vectors(spark):
     assert len(got) == 25 and got[0, 0] == (0.0, 5.0, 5.0, 10.0) and got[2, 2] == (0.0, 1.0, 1.0, 2.0)
     assert got[0, 1] == (None, None, None, None) and got[0, 2] == (None, None, 1.0, None) and got[1, 0][2] == 5.0
     assert str(got[0, 4][1]) == "0.0"  # no negative zero
+
+
+def test_pruned_search_sends_no_list_of_pairs(spark, small):
+    from pyspark import cloudpickle
+
+    rng = np.random.default_rng(5)
+    points, middle = rng.random((400, 8)), rng.random((2000, 8))
+    lists = {p: (c, 0.5, 9.0) for p, c in enumerate(middle)}
+    run = ivf._bound_scorer(lists, np.arange(400), points, np.full(400, np.inf), np.zeros((400, 1), np.int64), 3)
+    assert len(cloudpickle.dumps(run)) < 1_000_000  # 400 x 2000 pairs as numbers would be 6,400,000
+    b = base(spark, small)
+    q = asked(b)
+    assert "BroadcastNestedLoopJoin" not in sharded.pruned_search(b, q, 5, 3)._jdf.queryExecution().executedPlan().toString()
+    exact = [r[:3] for r in rows(knn.exact_knn(b, q, 5))]
+    members, centroids = ivf.build(b, 40, 2)
+    stats = ivf.posting_stats(members, centroids)
+    assert [r[:3] for r in rows(ivf.pruned_search(members, centroids, stats, q, 5, len(centroids)))] == exact
+    assert rows(sharded.pruned_search(b, q, 0, 3)) == []
+    assert [r[:3] for r in rows(sharded.pruned_search(b, q, 5, 300))] == exact  # shards of fewer than k rows
