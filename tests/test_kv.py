@@ -89,3 +89,36 @@ def test_branches():
 
 def test_retention_floor():
     assert kv.retention_floor(9, [], [9]) == 9 and kv.retention_floor(9, [4], [9, 2]) == 2
+
+
+FILE = "file_id long, level int, smallest string, largest string, size_bytes long"
+
+
+def test_overlap_without_pairs(spark):
+    rng = random.Random(4)
+    files = []
+    for i in range(300):
+        a, b = sorted(f"u{rng.randrange(200):03d}" for _ in range(2))
+        files.append((i, rng.choice([0, 1]), a, b, rng.randrange(40)))
+    files += [(1000, 2, "a", "b", 5), (1001, 2, "c", "d", 6), (1002, 3, "a", "b", 0), (1003, 3, "b", "c", 7), (1004, 4, "a", "a", 9)]
+    want = {}
+    for i, x in enumerate(files):
+        for y in files[:i]:
+            if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3]:
+                want[x[1]] = want.get(x[1], 0) + min(x[4], y[4])
+    got = kv.overlap_bytes(spark.createDataFrame(files, FILE))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["level"]: r["overlap_bytes"] for r in got.collect()} == want and want[3] == 0 and 2 not in want and 4 not in want
+
+
+@pytest.mark.parametrize("per_bucket", [1, 7, 1000])
+def test_sweep_makes_no_pairs(spark, per_bucket):
+    rng = random.Random(per_bucket)
+    key = lambda: f"k{rng.randrange(400):03d}"
+    points = [(key(), s, "put", "x") for s in range(1, 500)]
+    ranges = [(a, b, rng.randrange(1, 600)) for a, b in ((sorted((key(), key()))) for _ in range(120))] + [("k000", "k390", 60)]
+    p, r = spark.createDataFrame(points, OP), spark.createDataFrame(ranges, "__start string, __end string, __t long")
+    got = kv._sweep(p, r, per_bucket)
+    assert sorted(x["seqno"] for x in got.collect()) == [s for k, s, _, _ in points if not any(a <= k < b and t >= s for a, b, t in ranges)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # a range is not repeated for every interval that it covers
