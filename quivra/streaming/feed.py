@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -51,16 +52,34 @@ def fenced(journal: DataFrame) -> DataFrame:
     if rows.isStreaming:
         return rows.groupBy("partition").applyInPandasWithState(_fence, FENCED, "expected long, term long, known string", "append", GroupStateTimeout.NoTimeout)
 
-    class Once:
-        exists = False
-
-        def update(self, _) -> None:
-            pass
-
-    def whole(group: pd.DataFrame) -> pd.DataFrame:
-        return next(_fence((int(group["partition"].iloc[0]),), iter([group]), Once()))
-
-    return rows.groupBy("partition").applyInPandas(whole, FENCED)
+    dealt = rows.repartition("partition").sortWithinPartitions("partition", F.asc_nulls_last("seq"), "term")
+    return dealt.mapInArrow(_fenced_in_order, FENCED)
+
+
+def _fenced_in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_fence() of a whole journal that comes ordered by partition, seq and term: as an entry under the next sequence number can only repeat the one applied
+    last, that one's payload is all that has to be remembered."""
+    now, expected, term, last = None, 1, 0, None
+    for batch in batches:
+        out = []
+        for partition, seq, t, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            if partition != now:
+                now, expected, term, last = partition, 1, 0, None
+            if t is not None and t < term:
+                out.append("stale term")
+                continue
+            if seq == expected:
+                status, expected, last = "applied", expected + 1, payload
+            elif seq is None or seq > expected:
+                status = "gap"
+            elif expected == 1 or seq != expected - 1:
+                status = "replayed"
+            else:
+                status = "duplicate" if payload == last else "conflict"
+            if status in ("applied", "duplicate") and t is not None:
+                term = t
+            out.append(status)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["partition", "seq", "term", "payload", "status"])
 
 
 def resolved(found: DataFrame, applied: DataFrame) -> DataFrame:

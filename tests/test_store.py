@@ -180,3 +180,43 @@ def test_datasets(spark, tmp_path):
         datasets.read_json(spark, f"{tmp_path}/j", 9)
     wide, _ = datasets.anisotropic(spark, 20, 2, 8)
     assert wide.count() == 20
+
+
+def test_a_journal_is_fenced_in_one_pass(spark):
+    import pandas as pd
+
+    class Once:
+        exists = False
+
+        def update(self, _):
+            pass
+
+    rng = random.Random(8)
+    rows = [(p, s, rng.choice([1, 1, 1, 2, 3]) if s > 6 else 1, rng.choice("ab")) for p in range(6) for s in [*range(p % 2, 12), *range(3, 9)]]
+    rows = [r for i, r in enumerate(rows) if i not in (70, 71) and (r[0], r[1], r[2]) not in {x[:3] for x in rows[:i]}]
+    names = ["partition", "seq", "term", "payload"]
+    want = pd.concat([next(feed._fence((p,), iter([g]), Once())) for p, g in pd.DataFrame(rows, columns=names).groupby("partition")])
+    got = feed.fenced(spark.createDataFrame(rows, "partition long, seq long, term long, payload string"))
+    assert sorted(map(tuple, got.collect())) == sorted(want.itertuples(index=False, name=None))
+    assert {"applied", "gap", "stale term", "conflict"} <= set(want["status"])
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()  # no group is held as a whole
+
+
+def test_a_level_just_written_is_not_written_again(spark, tmp_path, monkeypatch):
+    s = KeyValueStore(spark, f"file://{tmp_path}/k", file_rows=4, l0_files=1, level_bytes=100)
+    s.write_batch([("put", b"k%03d" % (i // 3), b"x") for i in range(60)])
+    written, write = [], s._write
+    monkeypatch.setattr(s, "_write", lambda rows, level: written.append(level) or write(rows, level))
+    assert s.auto_compact() == 8 and written == [1]
+    assert {r["level"] for r in s.catalog["files"].values()} == {8} and s.scan().count() == 20
+    assert all(r["ok"] for r in s.scrub().collect())
+
+
+def test_whole_folders_are_read_as_folders(spark, tmp_path):
+    s = KeyValueStore(spark, f"file://{tmp_path}/k", file_rows=2)
+    s.write_batch([("put", b"k%03d" % i, b"x") for i in range(20)])
+    names = list(s.catalog["files"])
+    assert len(names) > 5 and s._paths(names) == [s._path(names[0]).rsplit("/", 1)[0]]
+    assert s._paths(names[1:]) == sorted(map(s._path, names[1:])) and s.rows(names).count() == 20
+    s._move(names[:3], "cold")
+    assert len(s._paths(names)) == 2 and s.rows(names).count() == 20
