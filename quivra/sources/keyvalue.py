@@ -7,6 +7,7 @@ as any manifest; rows never are."""
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,7 +46,24 @@ class KeyValueStore:
         names = list(self.catalog["files"]) if names is None else names
         if not names:
             return self.spark.createDataFrame([], SCHEMA)
-        return self.spark.read.schema(SCHEMA).parquet(*[self._path(x) for x in names])
+        return self.spark.read.schema(SCHEMA).parquet(*self._paths(names))
+
+    def _paths(self, names: list[str]) -> list[str]:
+        """What to read for some files: a folder where they are all of its files, so that Spark lists it once and not file by file."""
+        folders: dict[str, set[str]] = {}
+        for x in names:
+            folder, name = self._path(x).rsplit("/", 1)
+            folders.setdefault(folder, set()).add(name)
+        jvm, out = self.files.jvm, []
+        for folder, chosen in folders.items():
+            there = set()
+            if len(chosen) > 1:
+                found = self.files.fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet"))
+                # all names in one string: a call for each would take longer than the read
+                text = jvm.org.apache.commons.lang3.ArrayUtils.toString(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found))[1:-1]
+                there = {p.rsplit("/", 1)[-1] for p in text.split(",")}
+            out += [folder] if there == chosen else [f"{folder}/{x}" for x in sorted(chosen)]
+        return out
 
     def overlapping(self, start: bytes | None = None, end: bytes | None = None, names: list[str] | None = None) -> list[str]:
         """Files whose keys can be from start to end (both included)."""
@@ -204,7 +222,7 @@ class KeyValueStore:
 
     def auto_compact(self, most: int = 8) -> int:
         """Compacts the level that asks most, with what it overlaps one level below, until none asks; how often."""
-        done = 0
+        done, fresh, fresh_alone = 0, set(), False
         while done < most and (level := self.candidate()) is not None:
             own = [x for x, r in self.catalog["files"].items() if r["level"] == level and r["tier"] != "frozen"]
             below = [x for x, r in self.catalog["files"].items() if r["level"] == level + 1 and r["tier"] != "frozen"]
@@ -214,7 +232,13 @@ class KeyValueStore:
             low, high = min(bytes.fromhex(r["smallest"]) for r in reach), max(bytes.fromhex(r["largest"]) for r in reach)
             chosen = [*own, *self.overlapping(low, high, below)]
             rest = {x: r for x, r in self.catalog["files"].items() if x not in set(chosen)}
-            new = self._write(kv.compact(self.rows(chosen), self.floor() + 1, covers_all=not self.overlapping(low, high, list(rest))), level + 1)
+            alone = not self.overlapping(low, high, list(rest))
+            if set(chosen) == fresh and (fresh_alone or not alone):
+                # just written by the round before: the same rows would be written again, so only their level changes
+                new = {x: {**self.catalog["files"][x], "level": level + 1} for x in chosen}
+            else:
+                new = self._write(kv.compact(self.rows(chosen), self.floor() + 1, covers_all=alone), level + 1)
+                fresh, fresh_alone = set(new), alone
             self._save(files={**rest, **new})
             done += 1
         return done
@@ -223,15 +247,14 @@ class KeyValueStore:
 
     def _move(self, names: list[str], tier: str) -> None:
         """Copies first, then commits the new place; the old copy goes last."""
-        util, conf = self.files.jvm.org.apache.hadoop.fs.FileUtil, self.spark.sparkContext._jsc.hadoopConfiguration()
+        util, conf, fs, of = self.files.jvm.org.apache.hadoop.fs.FileUtil, self.spark.sparkContext._jsc.hadoopConfiguration(), self.files.fs, self.files.jvm.org.apache.hadoop.fs.Path
         old = {x: self._path(x) for x in names}
-        for name in names:
-            target = self.files.path(f"{tier}/{name}")
-            self.files.fs.mkdirs(target.getParent())
-            util.copy(self.files.fs, self.files.path(f"{self.catalog['files'][name]['tier']}/{name}"), self.files.fs, target, False, True, conf)
-        self._save(files={x: {**r, "tier": tier} if x in old else r for x, r in self.catalog["files"].items()})
-        for path in old.values():
-            self.files.fs.delete(self.files.jvm.org.apache.hadoop.fs.Path(path), False)
+        for folder in {x.rsplit("/", 1)[0] for x in names}:
+            fs.mkdirs(self.files.path(f"{tier}/{folder}"))
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda x: util.copy(fs, of(old[x]), fs, self.files.path(f"{tier}/{x}"), False, True, conf), names))
+            self._save(files={x: {**r, "tier": tier} if x in old else r for x, r in self.catalog["files"].items()})
+            list(pool.map(lambda path: fs.delete(of(path), False), old.values()))
 
     def rebalance(self, hot_bytes: int) -> list[str]:
         """Moves files from the hot tier to the cold one, deepest levels and oldest entries first, until the hot one is within its bytes."""
@@ -260,7 +283,7 @@ class KeyValueStore:
 
     def scrub(self) -> DataFrame:
         """(file_id, level, entries, ok): every file read in full and held against its record."""
-        paths = [self._path(x) for x in self.catalog["files"]]
+        paths = self._paths(list(self.catalog["files"]))
         rows = [(x, r["level"], r["smallest"], r["largest"], r["max_seqno"], r["entries"], r["checksum"]) for x, r in self.catalog["files"].items()]
         told = self.spark.createDataFrame(rows, "file_id string, level int, s string, l string, m long, e long, c string")
         if not paths:
