@@ -155,3 +155,24 @@ def test_pruned_search_sends_no_list_of_pairs(spark, small):
     assert [r[:3] for r in rows(ivf.pruned_search(members, centroids, stats, q, 5, len(centroids)))] == exact
     assert rows(sharded.pruned_search(b, q, 0, 3)) == []
     assert [r[:3] for r in rows(sharded.pruned_search(b, q, 5, 300))] == exact  # shards of fewer than k rows
+
+
+def test_codes_and_their_search_by_batches(spark, small):
+    b = base(spark, small)
+    plan = saq.Plan([*range(63, -1, -1)], saq.uniform_segments(64, 256, 4))
+    codes = saq.encode(b, plan)
+    key = lambda df: sorted((r["id"], r["codes"], r["v_max"], r["norm_sq"]) for r in df.collect())
+    assert key(codes) == key(saq._encoded(b, plan))
+    found = saq.search(codes, plan, asked(b), 4)
+    assert "NestedLoopJoin" not in found._jdf.queryExecution().executedPlan().toString()  # once every pair was a row of a join
+    pairs = saq.decode(codes, plan).crossJoin(asked(b).select("qid", v.permute("values", plan.order).alias("q")))
+    distance = v.norm2("q") + F.col("norm_sq") - 2 * v.dot("q", "decoded")
+    assert rows(found) == rows(knn.ranked(pairs.select("qid", "id", distance.alias("distance")), 4)) == rows(saq.search(codes, plan, asked(b), 4, 2))
+
+
+def test_split_of_a_large_posting_is_not_quadratic(monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(mutations, "farthest_pair", lambda p, f=mutations.farthest_pair: f(p) if len(p) <= 1024 else pytest.fail("all pairs"))
+    points = rng.random((3000, 4))
+    i, j = mutations.far_pair(points)
+    assert ((points[i] - points[j]) ** 2).sum() > 1.5 and mutations.far_pair(np.zeros((2000, 2))) == (0, 1)
