@@ -152,11 +152,12 @@ class StoredIndex:
         ids, points = np.array(list(centroids), np.int64), np.array(list(centroids.values()))
         near = lambda c: ids[np.argsort(((points - c) ** 2).sum(axis=1), kind="stable")][: self.scope + 1].tolist()
         touched = sorted({*large, *small, *(int(p) for x in large for p in near(centroids[x]))})
-        before = self.members(touched).cache()
+        before, held = self.members(touched).cache(), None
         try:
             rows, last = before, max(centroids)
             if large:
-                halves = m.split(before.filter(F.col("posting_id").isin(large)), self.split_limit)
+                # read by each of the steps below; worked out once
+                halves = held = m.split(before.filter(F.col("posting_id").isin(large)), self.split_limit).cache()
                 # new numbers come after all postings, whichever were split
                 first = max(large)
                 rows = before.filter(~F.col("posting_id").isin(large)).unionByName(halves.withColumn("posting_id", F.col("posting_id") + F.lit(last - first)))
@@ -183,6 +184,8 @@ class StoredIndex:
             part = self._write(came.unionByName(went))
         finally:
             before.unpersist()
+            if held is not None:
+                held.unpersist()
         members = [*self.catalog["members"], part]
         # centroids and bounds are exact again where members changed
         self.catalog = {**self.catalog, "members": members}
